@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +72,21 @@ def text_batches(spark: SparkSession, records: int = 512) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > records:
         spark.conf.set(key, str(records))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to executors that do not have it on their path, once per context."""
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_millrace_shipped", False):
+        return
+    # Spark's own folder on the driver, which serves the file to the executors and goes with the session.
+    path = os.path.join(SparkFiles.getRootDirectory(), "millrace-package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for top, _, names in os.walk(os.path.join(root, "millrace")):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(top, name)
+                    archive.write(full, os.path.relpath(full, root))
+    context.addPyFile(path)
+    context._millrace_shipped = True
