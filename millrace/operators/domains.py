@@ -127,7 +127,7 @@ def registrar_items(saved: DataFrame, body: str = "value") -> DataFrame:
     """Rows of ``answer.domains[]``; a failed answer is a row with an error."""
     rows = saved.withColumn("_a", F.from_json(body, ANSWER))
     failed = (
-        F.when(F.col("_a").isNull(), F.lit("not JSON"))
+        F.when(F.col(body).isNull() | F.try_parse_json(body).isNull(), F.lit("not JSON"))
         .when(F.col("_a.result").isNull() | (F.col("_a.result") != "success"), F.concat_ws(": ", F.concat_ws(" ", F.lit("API error"), "_a.error_code"), "_a.error_text"))
         .when(F.col("_a.answer.domains").isNull(), F.lit("no answer.domains array"))
     )
@@ -157,3 +157,10 @@ def good_names(names: DataFrame, most: int = 15, zone: str = "") -> DataFrame:
     name = F.col("name")
     keep = (F.length(name) <= most) & ~name.rlike("[-0-9]")
     return names.where(keep & ~F.lower(name).contains(zone.lower())) if zone else names.where(keep)
+
+
+def read_services(saved: DataFrame, body: str = "value") -> DataFrame:
+    """``(service_ord, tlds, server)`` from a saved lookup table: ``services`` is a list of [zones, servers]."""
+    table = F.from_json(F.get_json_object(body, "$.services"), "array<array<array<string>>>")
+    rows = saved.select(F.posexplode(table).alias("service_ord", "s"))
+    return rows.select("service_ord", F.transform(F.col("s")[0], lambda z: F.lower(z)).alias("tlds"), F.regexp_replace(F.col("s")[1][0], "/+$", "").alias("server"))

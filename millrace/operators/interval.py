@@ -11,10 +11,10 @@ def drop_near(rows: DataFrame, others: DataFrame, seconds: int = 15, key: list[s
 
     Time is cut in buckets of that width, so a near pair lies in the same or in
     neighbouring buckets: an equality join, where the plain condition would meet every
-    pair. Of a bucket of ``others`` only its first and last time matter (a bucket in the middle
-    holds some neighbour whenever either is near, and the buckets beside it are asked
-    through their ends), so a hot bucket meets one row and the join
-    cannot multiply. Rows with a null time or key have no neighbour and stay.
+    pair. Of each bucket of ``others`` only the first and the last time are kept: in a
+    row's own bucket all are near, of the bucket before the last is the nearest and of
+    the bucket after the first. A hot bucket thus meets one row and the join cannot
+    multiply. Rows with a null time or key have no neighbour and stay.
     """
     key = key or []
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))

@@ -128,7 +128,7 @@ def with_transcripts(meetings: DataFrame, segments: DataFrame) -> DataFrame:
     """Meetings with their segments in order; meetings without any keep an empty array."""
     own = segments.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("captured_at", "id", "speaker_name", "transcript"))).alias("segments"))
     rows = meetings.join(own, meetings["id"] == own["meeting_id"], "left").drop("meeting_id")
-    return rows.withColumn("segments", F.coalesce("segments", F.expr("slice(segments, 1, 0)")))
+    return rows.withColumn("segments", F.coalesce("segments", F.array().cast(own.schema["segments"].dataType)))
 
 
 def resolve_people(names: DataFrame, people: DataFrame) -> DataFrame:
@@ -146,3 +146,17 @@ def comment_threads(comments: DataFrame, depth: int = 8) -> DataFrame:
         up = rows.join(links, (rows["path"] == links["_p"]) & (rows["_next"] == links["_i"]), "left")
         rows = up.select(*[c for c in comments.columns], F.coalesce("_i", "root").alias("root"), F.col("_up").alias("_next"), (F.col("level") + F.col("_i").isNotNull().cast("int")).alias("level"))
     return rows.drop("_next")
+
+
+def record_issues(records: DataFrame) -> DataFrame:
+    """``(meeting_id, location, issue)`` of canonical records, sorted by location: versions, types and texts that must be there."""
+    at = lambda where, bad, what: F.when(bad, F.struct(F.lit(where).alias("location"), F.lit(what).alias("issue")))
+    nothing = (F.size("transcript") <= 0) & (F.size("notes") <= 0)
+    found = F.array_compact(F.array(
+        at("schema_version", ~F.col("schema_version").eqNullSafe(F.lit(VERSION)), "unknown version"),
+        *[at(f, F.col(f).isNull(), "missing") for f in ("source", "title", "started_at", "ended_at", "participants", "transcript", "notes", "resources")],
+        at("participants", F.exists("participants", lambda p: (p["name"] == "") & (p["email"] == "")), "a participant without name and e-mail"),
+        at("transcript", F.exists("transcript", lambda t: t["text"].isNull()), "an entry without text"),
+        at("transcript", nothing, "neither entries nor notes"),
+    ))
+    return records.select("meeting_id", F.explode(F.array_sort(found)).alias("i")).select("meeting_id", "i.location", "i.issue")

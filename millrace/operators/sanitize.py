@@ -233,4 +233,46 @@ def alt_texts(texts: DataFrame) -> DataFrame:
     """``(path, source, alt)``: a map of relationship id to alternative text, for the part rewrite."""
     return texts.groupBy("path", "source").agg(F.map_from_entries(F.collect_set(F.struct("id", "text"))).alias("alt"))
 
-__all__ = [n for n in dir() if not n.startswith("_")] if (Iterator, resolve) else []
+
+# The elements that name an image and carry its alternative text.
+BLIP = "{http://schemas.openxmlformats.org/drawingml/2006/main}blip"
+EMBED = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}embed"
+DRAWING = "{http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing}"
+
+
+def describe_images(data: bytes, texts: dict) -> bytes:
+    """Set the description of each drawing whose image has a text, by relationship id."""
+    try:
+        root = ET.fromstring(data)
+    except ET.ParseError:
+        return data
+    for box in root.iter():
+        if box.tag not in (DRAWING + "inline", DRAWING + "anchor"):
+            continue
+        found = [texts[b.get(EMBED)] for b in box.iter(BLIP) if b.get(EMBED) in texts]
+        if found and (props := box.find(DRAWING + "docPr")) is not None:
+            props.set("descr", found[0])
+    return ET.tostring(root, encoding="UTF-8", xml_declaration=True)
+
+
+def write_alt_texts(contents: DataFrame, alts: DataFrame) -> DataFrame:
+    """Contents with alternative texts written into the parts whose relationships ``alts`` names."""
+    owner = F.regexp_replace(F.regexp_replace("source", "_rels/", ""), r"\.rels$", "")
+    rows = contents.join(alts.select("path", owner.alias("name"), "alt"), ["path", "name"], "left")
+
+    @F.pandas_udf("binary")
+    def edit(data: pd.Series, maps: pd.Series) -> pd.Series:
+        return pd.Series([describe_images(d, dict(m)) if m is not None and d is not None else d for d, m in zip(data, maps)])
+
+    named = F.col("alt").isNotNull()
+    return rows.withColumn("content", F.when(named, edit(F.when(named, F.col("content")), F.col("alt"))).otherwise(F.col("content"))).drop("alt")
+
+
+def repair_ids(contents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(path, part, ord, old_id, new_id)`` of the elements whose id is not a number that may stay."""
+    from .dedupe import free_ids
+
+    ids = nodes.where(F.col("attrs")[W + "id"].isNotNull()).select("path", "part", "ord", F.concat_ws("|", "path", "part").alias("own"), F.col("attrs")[W + "id"].alias("old_id"))
+    ids = ids.join(contents.select("path", F.col("name").alias("part")), ["path", "part"], "left_semi")
+    fixed = free_ids(ids, "own", "old_id", "ord")
+    return fixed.where(~F.col("old_id").eqNullSafe(F.col("new_id").cast("string"))).select("path", "part", "ord", "old_id", "new_id")

@@ -299,7 +299,7 @@ def word_flags(listing: DataFrame, contents: DataFrame, rels: DataFrame) -> Data
         F.bool_or(name.startswith("customXml/")).alias("has_custom_xml"),
         F.count_if(name.startswith("word/media/")).alias("media_count"),
     )
-    main = contents.where(name == "word/document.xml").select("path", F.decode("content", F.lit("UTF-8")).alias("x"))
+    main = contents.where(name == "word/document.xml").select("path", F.decode("content", "UTF-8").alias("x"))
     has = lambda *subs: F.bool_or(F.greatest(*[F.col("x").contains(s) for s in subs]) if len(subs) > 1 else F.col("x").contains(subs[0]))
     by_text = main.groupBy("path").agg(
         has("<w:ins ", "<w:del ").alias("has_tracked_changes"), has("<w:vanish").alias("has_hidden_text"), has("w:commentReference", "w:commentRangeStart").alias("has_comment_refs"),
@@ -323,3 +323,14 @@ def slide_flags(listing: DataFrame, nodes: DataFrame, rels: DataFrame) -> DataFr
     count = nodes.where((F.col("part") == "ppt/presentation.xml") & (F.col("tag") == P + "sldId")).groupBy("path").agg(F.count(F.lit(1)).alias("slide_count"))
     external = rels.groupBy("path").agg(F.bool_or(F.coalesce(F.col("targetMode") == "External", F.lit(False))).alias("has_external_links"))
     return by_name.join(external, "path", "left").join(count, "path", "left").fillna(False).fillna(0, ["slide_count"])
+
+
+def unpack(files: DataFrame, listing: DataFrame, report: DataFrame, transform=None, force: bool = False) -> DataFrame:
+    """``(path, name, content, sha256, format)``: members that stay inside their folder, of files that pass the gate
+    (of all readable files if forced), with ``transform`` applied to the contents table and the digest of the source file."""
+    sound = report if force else report.where("ok")
+    gated = files.join(sound.select("path"), "path", "left_semi")
+    inside = parts(gated).where("error is null").where(contained(F.col("name")))
+    inside = transform(inside) if transform else inside
+    meta = gated.select("path", F.sha2("content", 256).alias("sha256")).join(detect_format(files, listing), "path")
+    return inside.select("path", "name", "content").join(meta, "path")
