@@ -5,6 +5,9 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+import os
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ..session import text_batches
 
-#: Pieces whose ids a worker remembers; past this many it starts anew.
-REMEMBERED = 250_000
+#: Pieces of a generation whose ids a worker remembers; two generations are held.
+REMEMBERED = 300_000
 #: Bytes of text split at a time.
 STRETCH = 1 << 20
 
@@ -34,10 +37,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+if array("I").itemsize != 4 or sys.byteorder != "little":
+    raise ImportError("packed ids are native unsigned integers of 4 bytes, lowest first")
+
+
 class Coder:
     """Encodes pieces of the pattern by the ranks, and decodes ids."""
 
     def __init__(self, path: str, pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         ranks, letters = read_ranks(path), byte_characters()
@@ -54,22 +62,53 @@ class Coder:
         # White space as Unicode defines it, which \s is in the library that the ranks were made for.
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
         self.known: dict[str, bytes] = {}
-
-    def learn(self, pieces: list[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        fresh = list(dict.fromkeys(p for p in pieces if p not in self.known))
-        for piece, found in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False)):
-            self.known[piece] = np.asarray(found.ids, "<u4").tobytes()
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, parts: list[list[str]]) -> None:
+        """Make every piece known. What one generation of pieces used lives on in the next."""
+        known, older = self.known, self.older
+        fresh = [p for p in set().union(*parts) if p not in known]
+        if not fresh:
+            return
+        if len(known) + len(fresh) > REMEMBERED:
+            self.older, self.known = older, known = known, {}
+            fresh = set().union(*parts)
+        unseen = []
+        for piece in fresh:
+            if (ids := older.get(piece)) is None:
+                unseen.append(piece)
+            else:
+                known[piece] = ids
+        found = self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False)
+        known.update({piece: array("I", e.ids).tobytes() for piece, e in zip(unseen, found)})
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; empty for null.
+
+        What the texts of a batch have not in common with earlier ones goes to the library at once.
+        """
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+
+        def flush():
+            self.learn([pieces for _, pieces in held])
+            for i, pieces in held:
+                out[i].append(b"".join(map(self.known.__getitem__, pieces)))
+            held.clear()
+
+        for i, text in enumerate(texts):
+            for part in stretches(text or ""):
+                held.append((i, self.split(part)))
+                size += len(part)
+                if size >= STRETCH:
+                    flush()
+                    size = 0
+        flush()
+        return [b"".join(parts) for parts in out]
 
     def encode(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers; empty for null."""
-        out = []
-        for part in stretches(text or ""):
-            pieces = self.split(part)
-            self.learn(pieces)
-            out.append(b"".join(map(self.known.__getitem__, pieces)))
-        return b"".join(out)
+        return self.encode_many([text])[0]
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
@@ -121,8 +160,8 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", offsets:
     @F.pandas_udf(kind)
     def run(texts: pd.Series) -> pd.DataFrame:
         own, rows = coder(path, pattern), []
-        for text in texts:
-            ids = np.frombuffer(own.encode(text), "<u4").astype(np.int32)
+        for text, packed in zip(texts, own.encode_many(texts)):
+            ids = np.frombuffer(packed, "<u4").astype(np.int32)
             rows.append((ids, own.offsets(text or "", ids)) if offsets else (ids,))
         return pd.DataFrame(rows, columns=["ids", "offsets"][: 1 + offsets])
 
@@ -154,8 +193,7 @@ def token_digests(df: DataFrame, path: str, pattern: str, text: str = "text") ->
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def run(texts: pd.Series) -> pd.DataFrame:
         own, rows = coder(path, pattern), []
-        for text in texts:
-            packed = own.encode(text)
+        for packed in own.encode_many(texts):
             ids, digest = np.frombuffer(packed, "<u4"), hashlib.sha256()
             for i in range(0, len(ids), 1 << 16):
                 digest.update(own.decode_bytes(ids[i : i + (1 << 16)]))
