@@ -13,10 +13,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, text_batches
+from ..session import cut, join_small, text_batches
 
-BLANK = " \t\n\x0b\x0c\r"
-_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+BLANK = b" \t\n\x0b\x0c\r"
+_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Filter bits per byte of input as planned, and the bounds of a filter. The upper bound,
 #: 128 MB, bounds what is broadcast; a fuller filter only suspects more, the result stays exact.
 BITS_PER_BYTE, LEAST_BITS, MOST_BITS = 0.25, 1 << 23, 1 << 30
@@ -27,14 +27,18 @@ PROBES = 2
 NO_ID = -(1 << 63)
 
 
-def line_key(line: str) -> str:
-    """The line without white space (09-0D, 20) at both ends, A-Z lower-cased."""
-    key = line.strip(BLANK)
-    return key.lower() if key.isascii() else key.translate(_FOLD)
+def _long(key: bytes, least: int) -> bool:
+    """Whether a key has that many code points; a code point has 4 bytes at most."""
+    return len(key) >= least and (len(key) >= 4 * least or key.isascii() or len(key.decode(errors="replace")) >= least)
 
 
-def long_keys(text: str | None, least: int) -> set[str]:
-    return {k for line in (text or "").split("\n") if len(line) >= least and len(k := line_key(line)) >= least}
+def line_keys(data: bytes) -> list[bytes]:
+    """The key of each line of a text in UTF-8: without white space (09-0D, 20) at both ends, A-Z lower-cased."""
+    return [line.strip(BLANK) for line in data.translate(_FOLD).split(b"\n")]
+
+
+def long_keys(data: bytes | None, least: int) -> set[bytes]:
+    return {k for k in line_keys(data or b"") if _long(k, least)}
 
 
 def filter_bits(df: DataFrame) -> int:
@@ -49,10 +53,10 @@ def filter_bits(df: DataFrame) -> int:
     return 1 << (wanted - 1).bit_length()
 
 
-def _positions(keys: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _positions(keys: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The part of each key and its probes inside that part, from one 64-bit hash."""
     digest = xxhash.xxh3_64_intdigest
-    h = np.fromiter((digest(k) for k in keys), np.uint64, len(keys))
+    h = np.array([digest(k) for k in keys], np.uint64)
     parts = (h >> np.uint64(44)) % np.uint64(max(1, bits // PART_BITS))
     width = np.uint64(min(bits, PART_BITS) - 1)
     probes = np.stack([h & width, (h >> np.uint64(22)) & width], axis=1).astype(np.uint32)
@@ -78,7 +82,7 @@ def _seen(bits: int, least: int):
 
         for batch in batches:
             keys = []
-            for text in batch.column(0).to_pylist():
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
                 keys += long_keys(text, least)
             if not keys:
                 continue
@@ -149,7 +153,7 @@ def _suspects(shared, bits: int, least: int):
         parts_of = _filter(shared)
         for batch in batches:
             keys, docs = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 found = long_keys(text, least)
                 keys += found
                 docs += [NO_ID if doc is None else doc] * len(found)
@@ -164,7 +168,7 @@ def _suspects(shared, bits: int, least: int):
                     hit[own] = ((data[p >> 3] >> (7 - (p & 7))) & 1).all(axis=1)
             own = np.flatnonzero(hit)
             if len(own):
-                digests = [hashlib.blake2b(keys[i].encode(), digest_size=16).digest() for i in own]
+                digests = [hashlib.blake2b(keys[i], digest_size=16).digest() for i in own]
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([docs[i] for i in own], pa.int64())], names=["key", "doc"])
 
     return run
@@ -177,8 +181,8 @@ def repeats(docs: DataFrame, least: int = 20, documents: int = 3) -> DataFrame:
     bits = filter_bits(docs)
     shared = docs.sparkSession.sparkContext.broadcast(twice_filter(docs, least, bits))
     held = cut(docs.mapInArrow(_suspects(shared, bits, least), "key binary, doc long").distinct())
-    spread = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("last")).where(F.col("n") >= documents)
-    return held.join(spread, "key").where("doc < last").groupBy("doc").agg(F.collect_list("key").alias("drop"))
+    spread = cut(held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("last")).where(F.col("n") >= documents).drop("n"))
+    return join_small(held, spread, "key", "inner").where("doc < last").groupBy("doc").agg(F.collect_list("key").alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, least: int = 20, documents: int = 3) -> DataFrame:
@@ -203,13 +207,10 @@ def dedup_lines(docs: DataFrame, least: int = 20, documents: int = 3) -> DataFra
             if drop is None or not len(drop):
                 out.append((text, text.count("\n") + 1, 0))
                 continue
-            gone, kept, total = {bytes(x) for x in drop}, [], 0
-            for line in text.split("\n"):
-                total += 1
-                key = line_key(line) if len(line) >= least else ""
-                if len(key) < least or hashlib.blake2b(key.encode(), digest_size=16).digest() not in gone:
-                    kept.append(line)
-            out.append(("\n".join(kept), total, total - len(kept)))
+            gone, data = {bytes(x) for x in drop}, text.encode()
+            lines = list(zip(data.split(b"\n"), line_keys(data)))
+            kept = [line for line, key in lines if not _long(key, least) or hashlib.blake2b(key, digest_size=16).digest() not in gone]
+            out.append((b"\n".join(kept).decode(), len(lines), len(lines) - len(kept)))
         return pd.DataFrame(out, columns=["kept", "n_lines", "n_dropped"])
 
     return rows.withColumn("_mr_r", clean("text", "_mr_drop")).drop("_mr_drop", "_mr_doc").withColumns(
