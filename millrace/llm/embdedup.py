@@ -19,8 +19,9 @@ COSINE = 0.95
 #: Bits of a code: more than the dimensions, from several rotations side by side.
 BITS = 256
 SEED = 20240607
-#: A pair at the threshold meets in no band with at most this probability; closer pairs with less.
-MISSED = 1e-4
+#: A pair exactly at the threshold meets in no band with about this probability (as if the bands' bits
+#: were independent); closer pairs with far less.
+MISSED = 1e-6
 #: Rows of a band's bucket that meet in one task; a larger bucket is cut in blocks that meet in pairs.
 BLOCK = 4096
 
@@ -28,7 +29,7 @@ BLOCK = 4096
 def plan_bands(vectors: int, cosine: float = COSINE) -> tuple[int, int]:
     """Bits a band and number of bands: buckets stay small as rows grow, recall stays put."""
     same = 1 - math.acos(cosine) / math.pi
-    bits = min(28, max(10, math.ceil(math.log2(max(2, vectors)))))
+    bits = min(28, max(8, math.ceil(math.log2(max(2, vectors))) - 2))
     return bits, math.ceil(math.log(MISSED) / math.log1p(-(same**bits)))
 
 
@@ -215,7 +216,7 @@ def embedding_components(df: DataFrame, vec_id: str = "vec_id", embedding: str =
     coded = cut(rows.mapInArrow(_encode, "vec_id long, unit binary, code binary, factor double"))
     nodes = cut(
         coded.groupBy("unit").agg(F.first("code").alias("code"), F.first("factor").alias("factor"), F.count(F.lit(1)).alias("rows"), F.min("vec_id").alias("least"))
-        .withColumn("node", F.xxhash64("unit"))
+        .withColumn("node", F.monotonically_increasing_id())
     )
     shape = nodes.agg(F.count(F.lit(1)).alias("n")).first()
     bits, bands = plan_bands(shape["n"], cosine)
@@ -247,9 +248,8 @@ def embedding_components(df: DataFrame, vec_id: str = "vec_id", embedding: str =
         .join(others.withColumnRenamed("a", "node"), "node", "left")
     )
     lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = placed.join(lowest, "root").select("node", (F.coalesce("others", F.lit(0)) + F.col("rows") - 1).alias("n_links"), "component_id")
-    linked = coded.select("vec_id", F.xxhash64("unit").alias("node")).join(placed, "node").select("vec_id", "n_links", "component_id")
-    return linked
+    placed = placed.join(lowest, "root").select("unit", (F.coalesce("others", F.lit(0)) + F.col("rows") - 1).alias("n_links"), "component_id")
+    return coded.select("vec_id", "unit").join(placed, "unit").select("vec_id", "n_links", "component_id")
 
 
 def embedding_dedup(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
