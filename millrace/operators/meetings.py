@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import export_title, meeting_title, output_stem
@@ -111,17 +111,17 @@ def page(df: DataFrame, order: list, offset: int = 0, limit: int = PAGE) -> Data
 
 def select_by_position(df: DataFrame, order: list, answer: str) -> DataFrame:
     """The rows at 1-based positions, in the order typed, each once; ``all`` takes every row."""
-    from pyspark.sql import Window
-
-    numbered = df.withColumn("position", F.row_number().over(Window.orderBy(*order)))
     if answer.strip().lower() == "all":
-        return numbered.orderBy("position")
+        return df.orderBy(*order)
     parts = [p.strip() for p in answer.split(",")]
     if not all(p.isdigit() and int(p) >= 1 for p in parts):
         raise ValueError(f"invalid selection: {answer!r}")
     wanted = list(dict.fromkeys(int(p) for p in parts))
-    picks = df.sparkSession.createDataFrame([(p, i) for i, p in enumerate(wanted)], "position int, typed int")
-    return numbered.join(F.broadcast(picks), "position").orderBy("typed").drop("typed")
+    # Only the rows up to the last position asked for are ordered in one place.
+    first = df.orderBy(*order).limit(max(wanted))
+    numbered = first.withColumn("_position", F.row_number().over(Window.orderBy(*order)))
+    picks = df.sparkSession.createDataFrame([(p, i) for i, p in enumerate(wanted)], "_position int, _typed int")
+    return numbered.join(F.broadcast(picks), "_position").orderBy("_typed").drop("_typed", "_position")
 
 
 def with_transcripts(meetings: DataFrame, segments: DataFrame) -> DataFrame:

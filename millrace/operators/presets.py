@@ -23,8 +23,9 @@ SWITCHES = {
     "noTonemap": "--no-tonemap", "embedFrames": "--embed-frames", "noReport": "--no-report", "noManifest": "--no-manifest",
     "noIndex": "--no-index", "noAudio": "--no-audio",
 }
-# Languages preferred after the one asked for, and file endings beside a video.
+# Languages preferred after the one asked for, and file endings beside a video. MOST_PRESETS bounds what is broadcast.
 LANGUAGES = ("ru-orig", "en-orig", "ru", "en")
+MOST_PRESETS = 1000
 LOCAL_ENDINGS = (".vtt", ".srt", ".txt")
 REMOTE_ENDINGS = (".vtt", ".srt", ".txt", ".ru.vtt", ".en.vtt", ".ru.srt", ".en.srt")
 
@@ -50,9 +51,11 @@ def rank_presets(inputs: DataFrame, presets: DataFrame) -> DataFrame:
 
     +2 per token found in the input's text, +3 for a video site's preset on its address, +1 each for
     subtitles and sidecars where the preset prefers them; a general preset scores at least 1.
-    The presets are configuration: a handful of rows, joined as a nested loop by broadcast if the planner finds them small.
+    The presets are configuration: more than ``MOST_PRESETS`` rows are refused, so their broadcast is bounded.
     ``inputs`` has (input_id, input, text, n_subtitles, n_sidecars), text being all that is known of it.
     """
+    if presets.limit(MOST_PRESETS + 1).count() > MOST_PRESETS:
+        raise ValueError(f"more than {MOST_PRESETS} presets")
     low = F.lower(F.concat_ws(" ", "input", "text"))
     hits = F.filter(F.coalesce("match", F.array().cast("array<string>")), lambda t: F.contains(F.col("_low"), F.lower(t)))
     rows = inputs.withColumn("_low", low).crossJoin(F.broadcast(presets))

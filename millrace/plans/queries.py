@@ -52,30 +52,28 @@ _SERVICES = [(0, ["com", "net"], "https://one.test"), (1, ["net", "org"], "https
 
 
 @query(f"""WITH {_HOSTS}, s AS (SELECT page_id, h, string_split(h, '.')[-1] AS zone,
-  CASE page_id % 4 WHEN 0 THEN 200 WHEN 1 THEN 404 WHEN 2 THEN 500 END AS code,
-  CASE page_id % 3 WHEN 0 THEN 'No match. Domain: x' WHEN 1 THEN 'DOMAIN: x' ELSE 'hello' END AS body FROM hosts),
+  CASE WHEN h LIKE 'www.%' THEN 200 WHEN h LIKE 'm.%' THEN 404 WHEN h LIKE 'blog.%' THEN 500 END AS code,
+  CASE WHEN contains(h, 'io') THEN 'free' WHEN contains(h, 'e') THEN 'taken' END AS body FROM hosts),
 r AS (SELECT *, zone IN ('com', 'net', 'org') AND code IN (200, 404) AS structured FROM s)
 SELECT page_id AS ord, h AS domain, zone AS tld, CASE WHEN structured THEN 'rdap' ELSE 'whois' END AS method,
   CASE WHEN structured THEN CASE code WHEN 200 THEN 'registered' ELSE 'appears_unregistered' END
-  ELSE CASE page_id % 3 WHEN 0 THEN 'appears_unregistered' WHEN 1 THEN 'registered' ELSE 'unknown' END END AS status FROM r""")
+  ELSE CASE body WHEN 'free' THEN 'appears_unregistered' WHEN 'taken' THEN 'registered' ELSE 'unknown' END END AS status FROM r""")
 def name_check(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     hosts = domains.normalise_hosts(pages, "url", "page_id")
     names = domains.normalise(hosts, "domain", "page_id").withColumnRenamed("page_id", "ord")
-    n = F.col("ord")
+    h = F.col("ascii_domain")
     saved = names.where("problem is null").select(
-        F.col("ascii_domain").alias("domain"), F.when(n % 4 == 0, 200).when(n % 4 == 1, 404).when(n % 4 == 2, 500).alias("http_status"),
-        F.when(n % 3 == 0, "No match. Domain: x").when(n % 3 == 1, "DOMAIN: x").otherwise("hello").alias("whois_body"), F.lit(0).alias("ns"), F.lit(0).alias("soa"),
+        F.col("ascii_domain").alias("domain"), F.when(h.startswith("www."), 200).when(h.startswith("m."), 404).when(h.startswith("blog."), 500).alias("http_status"),
+        F.when(h.contains("io"), "No match. Domain: x").when(h.contains("e"), "DOMAIN: x").otherwise("hello").alias("whois_body"), F.lit(0).alias("ns"), F.lit(0).alias("soa"),
     )
     services = spark.createDataFrame(_SERVICES, "service_ord int, tlds array<string>, server string")
     return domains.check(names, saved, services).select("ord", "domain", "tld", "method", "status")
 
 
-@query("""SELECT doc_id, coalesce(nullif(substr(regexp_replace(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), ''), 'meeting') AS slug
-FROM documents WHERE lang = 'en'""")
+@query("""SELECT doc_id, coalesce(nullif(substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), ''), 'meeting') AS slug FROM documents""")
 def document_slugs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return docs.select("doc_id", T.slug(F.substring("text", 1, 200)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @query("""WITH s AS (SELECT p_partkey, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(p_name), '[\\\\/:*?"<>|]+', '-', 'g'), '\\s+', '_', 'g'), '_+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), ''), 'contract') AS n FROM part),
@@ -127,9 +125,9 @@ def unlabelled(spark, sf_dir):
 
 
 @query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL THEN 'both' WHEN b.doc_id IS NULL THEN 'first' ELSE 'second' END AS found_in
-FROM (SELECT DISTINCT doc_id FROM documents WHERE lang <> 'es') a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id = b.doc_id""")
+FROM (SELECT DISTINCT doc_id FROM documents) a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id = b.doc_id""")
 def label_overlap(spark, sf_dir):
-    return inventory.compare(table(spark, sf_dir, "documents").where("lang <> 'es'"), table(spark, sf_dir, "labels"), ["doc_id"])
+    return inventory.compare(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
 _PRESETS = [("english-general", "the common one", ["the", "tion"], True), ("licence", "", ["license", "copyright"], False), ("youtube-talk", "a youtube talk", ["ung", "lich"], True)]
@@ -137,11 +135,11 @@ _PRESETS = [("english-general", "the common one", ["the", "tion"], True), ("lice
 
 @query("""WITH p(name, match, prefers) AS (VALUES ('english-general', ['the', 'tion'], true), ('licence', ['license', 'copyright'], false), ('youtube-talk', ['ung', 'lich'], true)),
 s AS (SELECT doc_id AS input_id, name, (SELECT coalesce(sum(2), 0) FROM unnest(match) AS u(t) WHERE contains(lower(concat_ws(' ', source, text)), t))
-  + CASE WHEN prefers AND doc_id % 2 > 0 THEN 1 ELSE 0 END AS score FROM documents, p)
+  + CASE WHEN prefers AND lang = 'en' THEN 1 ELSE 0 END AS score FROM documents, p)
 SELECT input_id, name, CASE WHEN score = 0 AND name LIKE '%general%' THEN 1 ELSE score END::INT AS score,
   row_number() OVER (PARTITION BY input_id ORDER BY CASE WHEN score = 0 AND name LIKE '%general%' THEN 1 ELSE score END DESC, name)::INT AS place FROM s""")
 def preset_ranking(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("input_id"), F.col("source").alias("input"), "text", (F.col("doc_id") % 2).alias("n_subtitles"), F.lit(0).alias("n_sidecars"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("input_id"), F.col("source").alias("input"), "text", (F.col("lang") == "en").cast("int").alias("n_subtitles"), F.lit(0).alias("n_sidecars"))
     rules = spark.createDataFrame(_PRESETS, "name string, description string, match array<string>, preferSubtitles boolean")
     ranked = presets.rank_presets(docs, rules)
     place = F.row_number().over(Window.partitionBy("input_id").orderBy(*presets.best_first()))
@@ -192,11 +190,11 @@ def store_sizes(spark, sf_dir):
     return inventory.sizes(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("repo"), F.col("l_partkey").alias("size"), (F.col("l_returnflag") == "R").alias("is_cached")))
 
 
-@query("""WITH r AS (SELECT l_suppkey AS page, floor(l_quantity * 4 / 10) AS row_no, count(*) AS n, count(DISTINCT floor((l_partkey % 300) / 10)) AS cols, sum(l_linenumber * 20) AS c FROM lineitem GROUP BY 1, 2),
+@query("""WITH r AS (SELECT l_suppkey AS page, floor(l_quantity * 4 / 10) AS row_no, count(*) AS n, count(DISTINCT floor(l_linenumber * 40 / 10)) AS cols, sum(l_linenumber * 20) AS c FROM lineitem GROUP BY 1, 2),
 p AS (SELECT page, count(*) FILTER (WHERE n >= 4 AND cols >= 3) AS table_rows, sum(c) / sum(n) AS m FROM r GROUP BY page)
 SELECT page, round(m, 6) AS mean_confidence, table_rows, table_rows >= 3 AS is_table, (m < 60 OR table_rows >= 3) AS flagged FROM p""")
 def page_grids(spark, sf_dir):
-    words = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), (F.col("l_partkey") % 300).alias("x"), (F.col("l_quantity") * 4).alias("y"), (F.col("l_linenumber") * 20).alias("confidence"))
+    words = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), (F.col("l_linenumber") * 40).alias("x"), (F.col("l_quantity") * 4).alias("y"), (F.col("l_linenumber") * 20).alias("confidence"))
     return inventory.page_tables(words).withColumn("mean_confidence", F.round("mean_confidence", 6))
 
 
@@ -224,13 +222,11 @@ def url_kinds(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.is_url(url).alias("is_url"), T.is_http(url).alias("is_http"), T.is_youtube(url).alias("is_youtube"))
 
 
-@query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'created' WHEN a.doc_id IS NULL THEN 'absent' WHEN a.text = b.text THEN 'unchanged' ELSE 'updated' END AS status
-FROM (SELECT doc_id, text FROM documents WHERE doc_id % 7 > 0) a FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || '.' ELSE text END AS text FROM documents WHERE doc_id % 3 > 0) b ON a.doc_id = b.doc_id""")
+@query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'created' WHEN a.doc_id IS NULL THEN 'absent' WHEN a.source = b.source THEN 'unchanged' ELSE 'updated' END AS status
+FROM documents a FULL JOIN (SELECT doc_id, 'src' || quality AS source FROM labels) b ON a.doc_id = b.doc_id""")
 def import_states(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    new = docs.where("doc_id % 7 > 0")
-    old = docs.where("doc_id % 3 > 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")))
-    return import_status(new, old, "doc_id", "text")
+    old = table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("src"), F.col("quality").cast("string")).alias("source"))
+    return import_status(table(spark, sf_dir, "documents").select("doc_id", "source"), old, "doc_id", "source")
 
 
 @query("""SELECT p_partkey AS ord, 'Dear ' || p_name || ' of ' || p_brand || ', {{unknown}}' AS content FROM part""")
