@@ -101,9 +101,9 @@ def mix(docs: DataFrame, weight=None, share: float = 1.0, most: int = MOST, slic
 
 def repeat(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them; rows that share a doc_id share its lot."""
-    lot = mix(docs).groupBy(F.col("doc_id").alias("_doc")).agg(F.max("times").alias("_times")).where("_times > 0")
-    joined = docs.join(lot, docs["doc_id"].eqNullSafe(F.col("_doc")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).drop("_doc", "_times", "_copy")
+    lot = mix(docs).groupBy(F.col("doc_id").alias("_mr_doc")).agg(F.max("times").alias("_mr_times")).where("_mr_times > 0")
+    joined = docs.join(lot, docs["doc_id"].eqNullSafe(F.col("_mr_doc")))
+    return joined.withColumn("_mr_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mr_times")))).drop("_mr_doc", "_mr_times", "_mr_copy")
 
 
 def mix_sql(documents: str = "documents") -> str:

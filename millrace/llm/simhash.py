@@ -228,9 +228,9 @@ def simhash_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` whose document is the smallest of its component.
 
-    Rows that share a doc_id are one document; a null doc_id stays only where its
-    component has no other document.
+    Rows that share a doc_id, a null one too, are one document: they stay or go together.
+    Null ids stay if one of them is alone in its component.
     """
     found = simhash_components(df, doc_id, text)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return df.join(kept, df[doc_id].eqNullSafe(F.col("_kept")), "left_semi")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_mr_kept")).distinct()
+    return df.join(kept, df[doc_id].eqNullSafe(F.col("_mr_kept")), "left_semi")
