@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ..session import cut
+from ..session import cut, join_small
 from .vectors import matrix, pack_bits, rotation, unit
 
 COSINE = 0.95
@@ -222,12 +222,14 @@ def embedding_components(df: DataFrame, vec_id: str = "vec_id", embedding: str =
     bits, bands = plan_bands(shape["n"], cosine)
     masks = _band_masks(bits, bands)
     index = nodes.select("node", "code").mapInArrow(_index(masks), "band int, key long, node long, code binary")
-    if shape["n"] > block:
-        index = cut(index)
-        sizes = index.groupBy("band", "key").count().where(F.col("count") > block).withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).drop("count")
-        index = index.join(sizes, ["band", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        side = F.pmod(F.hash("node"), "blocks")
-        index = index.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sizes = None
+    if shape["n"] > block:  # else no bucket can hold more
+        sizes = index.groupBy("band", "key").count().where(F.col("count") > block)
+        sizes = cut(sizes.select("band", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+    if sizes is not None and sizes.limit(1).count():
+        index = join_small(index, sizes, ["band", "key"]).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        index = index.withColumn("side", F.pmod(F.hash("node"), "blocks"))
+        index = index.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         index = index.withColumns({"one": F.least("side", "other"), "two": F.greatest("side", "other")})
     else:
         index = index.withColumns({c: F.lit(0) for c in ("one", "two", "side")})
