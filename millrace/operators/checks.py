@@ -118,7 +118,11 @@ def layout_issues(names: DataFrame, rels: DataFrame) -> DataFrame:
 
 
 def validate(files: DataFrame, listing: DataFrame, report: DataFrame, contents: DataFrame, nodes: DataFrame, slides: bool = False) -> DataFrame:
-    """All checks of all files. A file that fails the archive check has that row alone."""
+    """All checks of all files. A file that fails the archive check has that row alone.
+
+    Every check reads the tables anew: pass them cut, or they are parsed once per check.
+    Of ``contents`` only the rows with an error are used.
+    """
     sound = report.where("ok").select("path")
     ok = files.select("path").join(sound, "path", "left_semi")
     names = listing.join(sound, "path", "left_semi")

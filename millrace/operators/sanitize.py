@@ -166,18 +166,20 @@ def carry_over(edited: DataFrame, original: DataFrame) -> DataFrame:
     lost = original.where("error is null and name is not null").select("path", "name", "content").join(edited.select("path", "name"), ["path", "name"], "left_anti")
     return edited.select("path", "name", "content").unionByName(lost)
 
-def pack(contents: DataFrame) -> DataFrame:
+def pack(contents: DataFrame, compress: bool = True) -> DataFrame:
     """``(path, content)``: one deterministic archive per path, the content types first, then by name.
 
     A package is one row's worth of bytes by its nature, and bounded by the safety gate.
     """
 
+    kind = zipfile.ZIP_DEFLATED if compress else zipfile.ZIP_STORED
+
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[pdf["content"].notna()]
         out, rows = io.BytesIO(), sorted(zip(pdf["name"], pdf["content"]), key=lambda r: (r[0] != "[Content_Types].xml", r[0]))
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        with zipfile.ZipFile(out, "w", kind) as archive:
             for name, content in rows:
-                archive.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), content, zipfile.ZIP_DEFLATED)
+                archive.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), content, kind)
         return pd.DataFrame({"path": pdf["path"].iloc[:1], "content": [out.getvalue()] * min(1, len(pdf))})
 
     return contents.select("path", "name", "content").groupBy("path").applyInPandas(build, "path string, content binary")

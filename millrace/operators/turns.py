@@ -26,8 +26,10 @@ def collapse_turns(df: DataFrame, meeting: str = "meeting_id", order: str = "tur
 
 def merge_runs(df: DataFrame, paragraph: list[str], order: str = "ord") -> DataFrame:
     """Adjacent plain runs of equal formatting become one; a complex run is always a break of its own."""
-    key = F.when(F.col("plain"), F.concat(F.lit("p|"), F.coalesce("format", F.lit("")))).otherwise(F.concat(F.lit("c|"), F.col(order).cast("string")))
-    rows = islands(df, paragraph, [order], key)
+    w = Window.partitionBy(*paragraph).orderBy(order)
+    goes_on = F.col("plain") & F.lag("plain").over(w) & F.col("format").eqNullSafe(F.lag("format").over(w))
+    rows = df.withColumn("_broken", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
+    rows = rows.withColumn("island", F.sum("_broken").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce("text", F.lit("")).alias("t"))))
     text = F.array_join(F.transform(parts, lambda s: s["t"]), "")
     merged = rows.groupBy(*paragraph, "island").agg(F.min(order).alias(order), F.bool_and("plain").alias("plain"), F.min_by("format", order).alias("format"), text.alias("text"))
