@@ -122,21 +122,26 @@ NO_SPEECH = (
 )
 
 
+#: White space as \\s has it, for trims that need no expression.
+BLANK = " \t\n\x0b\x0c\r"
+
+
 def strip_markup(value: Column) -> Column:
-    """Tags out, three entities decoded, white space runs to one space."""
-    for pattern, by in ((r"<[^>]+>", ""), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), (r"\s+", " ")):
-        value = F.regexp_replace(value, pattern, by)
-    return F.trim(value)
+    """Tags out, three entities decoded, white space runs to one space; text without markup skips the tags."""
+    clean = value
+    for pattern, by in ((r"<[^>]+>", ""), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        clean = F.regexp_replace(clean, pattern, by)
+    bare = F.when(value.contains("<") | value.contains("&"), clean).otherwise(value)
+    return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
 def spoken_line(line: Column) -> Column:
     """A cleaned subtitle line; null for cues, numbers, notes and ``[sounds]``."""
-    bare = F.trim(F.regexp_replace(line, r"^\s+|\s+$", ""))
-    silent = F.lit(False)
-    for pattern in NO_SPEECH:
-        silent = silent | bare.rlike(pattern)
-    clean = strip_markup(bare)
-    return F.when(~silent & (clean != "") & ~clean.rlike(r"^\[.*\]$"), clean)
+    bare = F.btrim(line, F.lit(BLANK))
+    silent = bare.rlike("|".join(f"(?:{p})" for p in NO_SPEECH))
+    # One mention of the cleaned line, so that its expressions run once.
+    clean = F.regexp_replace(strip_markup(bare), r"^\[.*\]$", "")
+    return F.when(~silent, F.nullif(clean, F.lit("")))
 
 
 def word_count(value: Column) -> Column:

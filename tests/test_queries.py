@@ -10,6 +10,7 @@ import duckdb
 import pytest
 from conftest import ROOT
 
+import millrace.plans.more  # noqa: F401
 from millrace.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
