@@ -41,13 +41,13 @@ def audit_links(links: DataFrame, blobs: DataFrame) -> DataFrame:
 
 def select_files(files: DataFrame, include: list[str] = (), exclude: list[str] = (), least: int | None = None, most: int | None = None, days: int | None = None, now=None) -> DataFrame:
     """Files by globs, size and age; filters on columns of the listing, so they reach its scan."""
-    from ..sources.package import _glob
+    from ..sources.package import glob_expression
 
     rows = files
     if include:
-        rows = rows.where(F.greatest(*[F.col("name").rlike(_glob(g)) for g in include]) if len(include) > 1 else F.col("name").rlike(_glob(include[0])))
+        rows = rows.where(F.greatest(*[F.col("name").rlike(glob_expression(g)) for g in include]) if len(include) > 1 else F.col("name").rlike(glob_expression(include[0])))
     for g in exclude:
-        rows = rows.where(~F.col("name").rlike(_glob(g)))
+        rows = rows.where(~F.col("name").rlike(glob_expression(g)))
     if least is not None:
         rows = rows.where(F.col("size") >= least)
     if most is not None:

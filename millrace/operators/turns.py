@@ -58,9 +58,12 @@ def merge_overlaps(lines: Column) -> Column:
 #: Fixed format of a transcript; ``{{x}}`` are filled in.
 TEMPLATE = """---
 type: source
+created: {{created_date}}
+updated: {{created_date}}
 source:
   - {{source}}
-created: {{created_date}}
+tags: []
+aliases: []
 ---
 
 # Transcript: {{title}}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
+import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
@@ -27,21 +29,22 @@ NODE = (
 
 
 def find_files(spark: SparkSession, root: str, suffixes: tuple = WORD_SUFFIXES, exclude: list[str] = ()) -> DataFrame:
-    """Package files under ``root``: known suffixes, no lock files, none that a glob excludes, each path once.
+    """Package files under ``root``: known suffixes, no lock files, none whose path under ``root`` a shell pattern excludes, each once.
 
     The content column is pruned where only the listing is used.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     name = F.element_at(F.split("path", "/"), -1)
     keep = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).isin(*suffixes) & ~name.startswith("~$")
+    inside = F.regexp_replace("path", "^.*" + re.escape(root.rstrip("/").partition("://")[2] or root.rstrip("/")) + "/", "")
     for glob in exclude:
-        keep = keep & ~F.col("path").rlike(_glob(glob)) & ~name.rlike(_glob(glob))
+        keep = keep & ~inside.rlike(glob_expression(glob))
     return files.where(keep).dropDuplicates(["path"])
 
 
-def _glob(pattern: str) -> str:
-    special = {"*": ".*", "?": "."}
-    return "^" + "".join(special.get(c, "\\" + c if c in ".+()[]{}^$|\\" else c) for c in pattern) + "$"
+def glob_expression(pattern: str) -> str:
+    """A shell pattern as a regular expression over the whole text."""
+    return "^" + re.sub(r"\\[Zz]$", "", fnmatch.translate(pattern)) + r"\z"
 
 
 def magic(content: Column) -> Column:
