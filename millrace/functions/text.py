@@ -39,7 +39,7 @@ def slug(value: Column, most: int = 60, default: str = "meeting") -> Column:
     return F.coalesce(F.nullif(made, F.lit("")), F.lit(default))
 
 
-def wide_slug(value: Column, most: int = 90, default: str = "video-summary") -> Column:
+def wide_slug(value: Column, most: int = 90, default: str = "video") -> Column:
     """Slug that keeps Cyrillic and drops a scheme."""
     bare = F.regexp_replace(F.lower(F.coalesce(F.nullif(value, F.lit("")), F.lit(default))), "^https?://", "")
     made = F.substring(_strip(F.regexp_replace(bare, "[^a-z0-9а-яё]+", "-"), "-"), 1, most)

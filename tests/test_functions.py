@@ -19,7 +19,7 @@ def test_slug(spark, value, made):
 
 def test_wide_slug(spark):
     assert one(spark, "https://Site.test/Видео ёж", T.wide_slug) == "site-test-видео-ёж"
-    assert one(spark, "", T.wide_slug) == "video-summary"
+    assert one(spark, "", T.wide_slug) == "video"
 
 
 def test_names(spark):
