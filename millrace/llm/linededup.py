@@ -22,7 +22,6 @@ _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 BITS_PER_BYTE, LEAST_BITS, MOST_BITS = 0.25, 1 << 23, 1 << 30
 #: Bits of one part of a filter, merged in one task.
 PART_BITS = 1 << 22
-PROBES = 2
 #: Stands for a null doc_id, below every other.
 NO_ID = -(1 << 63)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,15 +22,17 @@ DICTIONARY, LEVEL = 112_640, 3
 #: The bounded training sample: labelled documents of each class, smallest hashes first,
 #: and the code points taken of each, from a window placed by its hash.
 SAMPLE_DOCS, SAMPLE_POINTS = 3000, 8192
+#: Bytes that a text counts as longer, and the power of its length that a difference is divided by.
+SHORT, POWER = 100, 0.7
 
 
 @dataclass
 class Model:
-    """Two dictionaries and the calibration of the two compressed sizes per byte."""
+    """Two dictionaries and the calibration of the features, a constant last."""
 
     good: bytes
     bad: bytes
-    weights: tuple[float, float, float]
+    weights: tuple[float, ...]
 
     def compressors(self):
         return [
@@ -39,12 +42,16 @@ class Model:
         ]
 
 
-def sizes(text: str | None, compressors) -> tuple[float, float]:
-    """Compressed size per byte under each dictionary; of the whole text, (0, 0) if empty."""
+def features(text: str | None, compressors) -> tuple[float, float, float]:
+    """The normalised difference of the sizes under the two dictionaries, the size per byte, and how short the text is.
+
+    The difference of a text of one kind grows with its length n, its noise with the root of n: it is
+    divided by ``(n + SHORT) ** POWER``. Of the whole text, a piece at a time; (0, 0, 1) if it is empty.
+    """
     data = memoryview((text or "").encode())
-    if not data.nbytes:
-        return 0.0, 0.0
-    return tuple(sum(len(c.compress(data[i : i + PIECE])) for i in range(0, data.nbytes, PIECE)) / data.nbytes for c in compressors)
+    good, bad = (sum(len(c.compress(data[i : i + PIECE])) for i in range(0, data.nbytes, PIECE)) for c in compressors)
+    length = data.nbytes + SHORT
+    return (bad - good) / length**POWER, good / length, SHORT / length
 
 
 def _sigmoid(z: float) -> float:
@@ -52,9 +59,7 @@ def _sigmoid(z: float) -> float:
 
 
 def score(text: str | None, model: Model, compressors) -> float:
-    a, b, c = model.weights
-    good, bad = sizes(text, compressors)
-    return _sigmoid(a * bad + b * good + c)
+    return _sigmoid(sum(w * x for w, x in zip(model.weights, (*features(text, compressors), 1.0))))
 
 
 def _dictionary(texts: list[str]) -> bytes:
@@ -69,13 +74,24 @@ def _dictionary(texts: list[str]) -> bytes:
     return b"".join(pieces)[-DICTIONARY:]  # too little to train on: the text itself
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float, float]:
+def _own_lines(texts: dict[int, list[str]]) -> dict[int, list[str]]:
+    """Every other text, each once, without lines that two texts of the sample hold, whatever their class.
+
+    Boilerplate tells nothing about quality, and a dictionary that holds a common line makes
+    any short text with it look like its class. Copies count as one text.
+    """
+    holders = Counter(line for t in {*texts[0], *texts[1]} for line in {*t.split("\n")})
+    kept = {label: ["\n".join(x for x in t.split("\n") if holders[x] == 1) for t in dict.fromkeys(own[::2])] for label, own in texts.items()}
+    return {label: own if any(own) else texts[label][::2] for label, own in kept.items()}
+
+
+def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, ...]:
     """Logistic regression by Newton steps; y has both classes."""
-    design, w = np.column_stack([x, np.ones(len(x))]), np.zeros(3)
+    design, w = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
         grad = design.T @ (p - y) + ridge * w
-        hess = design.T @ (design * (p * (1 - p))[:, None]) + ridge * np.eye(3)
+        hess = design.T @ (design * (p * (1 - p))[:, None]) + ridge * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
         w = w - step * min(1.0, 20 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-6:
@@ -106,24 +122,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, points: i
     if min(len(texts[0]), len(texts[1])) < 4:
         share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
         share = min(max(share, 0.01), 0.99)
-        return Model(b"", b"", (0.0, 0.0, math.log(share / (1 - share))))
-    model = Model(_dictionary(texts[1][::2]), _dictionary(texts[0][::2]), (0.0, 0.0, 0.0))
+        return Model(b"", b"", (0.0, 0.0, 0.0, math.log(share / (1 - share))))
+    built = _own_lines(texts)
+    model = Model(_dictionary(built[1]), _dictionary(built[0]), ())
     compressors = model.compressors()
-    x, y, share = [], [], []
-    for label in (0, 1):
-        own = texts[label][1::2]
-        x += [sizes(t, compressors)[::-1] for t in own]
-        y += [label] * len(own)
-        share += [counts[label] / len(own)] * len(own)
-    x, y, share = np.array(x), np.array(y), np.array(share)
-    # Each class counts as often as it is labelled, though the sample holds as many of both.
-    a, b, c = _calibrate(x, y)
-    c += math.log(counts[1] / counts[0]) - math.log((y == 1).sum() / (y == 0).sum())
-    return Model(model.good, model.bad, (a, b, c))
+    held = [(features(t, compressors), label) for label in (0, 1) for t in texts[label][1::2]]
+    x, y = np.array([f for f, _ in held]), np.array([label for _, label in held], float)
+    *weights, constant = _calibrate(x, y)
+    # The sample holds as many of both classes; the constant restores their share among the labels.
+    constant += math.log(counts[1] / counts[0]) - math.log(y.sum() / (len(y) - y.sum()))
+    return Model(model.good, model.bad, (*weights, constant))
 
 
 def with_score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """Add the score, 0 to 1; empty and null texts get the score of two sizes of zero."""
+    """Add the score, 0 to 1; empty and null texts get the score of a text of no length."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     text_batches(df.sparkSession)
 

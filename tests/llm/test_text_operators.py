@@ -259,7 +259,7 @@ def test_quality_without_labels_or_texts(spark):
 
 
 def test_quality_of_a_long_text():
-    model = quality.Model(b"the and of " * 400, b"@@@ ### " * 400, (10.0, -10.0, 0.0))
+    model = quality.Model(b"the and of " * 400, b"@@@ ### " * 400, (10.0, 0.0, 0.0, 0.0))
     good, bad = (quality.score(t * 20_000, model, model.compressors()) for t in ("the of and ", "### @@@ "))
     assert 0 <= bad <= good <= 1
     assert quality.score("", model, model.compressors()) == quality.score(None, model, model.compressors()) == 0.5
