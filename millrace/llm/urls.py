@@ -14,15 +14,20 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: What blocks a URL that no rule fits. ``**`` matches any characters, ``*`` any but ``/``,
 #: ``?`` one character but ``/``; the glob is held against the host and the path, joined.
-BLOCK = ("ads.**", "*.ads.**", "tracker.**", "*.tracker.**", "**/ads/**", "**/advert*/**", "**/track/**", "**/pixel.*", "**.exe", "**.apk")
+#: Host labels that are one of these words, or begin with one and a dash, are blocked, and so are some paths.
+WORDS = ("ads", "track", "tracker", "spam", "casino", "adult")
+BLOCK = tuple(g for w in WORDS for g in (f"{w}.**", f"*.{w}.**", f"{w}-*.**", f"*.{w}-*.**")) + (
+    "**/ads/**", "**/advert*/**", "**/track/**", "**/pixel.*", "**.exe", "**.apk",
+)
 
 
 @dataclass
 class Automaton:
     """Bit-parallel globs: state i of a pattern is one bit, set while its first i items match.
 
-    ``step[c]`` has the bits whose item character class c can be, ``stay[c]`` those
-    that loop on it, ``skip`` those whose next item is a wildcard that may be empty.
+    ``step[c]`` has the bits whose item character class c can be, ``stay[c]`` those that
+    loop on it, because a wildcard follows their item. ``start`` has the first bit of each
+    pattern, ``accept`` and ``last`` its last.
     """
 
     alphabet: np.ndarray
