@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, linededup, mixing, quality, simhash
+from millrace.llm import bpe, linededup, mixing, quality, shingles
 from millrace.llm.queries import table, vocabulary
 from millrace.session import shared_dir
 
@@ -30,8 +30,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the smallest doc_id."""
-    return simhash.keep_one(docs.select(*COLUMNS))
+    """One document of each group of near-duplicates (five words, similarity 0.8) stays, that of the smallest doc_id."""
+    return shingles.keep_one(docs.select(*COLUMNS))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
