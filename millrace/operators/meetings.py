@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import export_title, meeting_title, output_stem
+from ..session import cut
 
 PERSON = "struct<name:string,email:string>"
 #: Fixed value: the only version of an envelope that is understood.
@@ -138,14 +139,28 @@ def resolve_people(names: DataFrame, people: DataFrame) -> DataFrame:
     return names.withColumn("_key", F.lower(F.trim("speaker"))).join(unique, "_key", "left").drop("_key")
 
 
-def comment_threads(comments: DataFrame, depth: int = 8) -> DataFrame:
-    """Add ``root`` and ``level`` by following ``parent``; one self-join per level, stopping where none moves."""
-    rows = comments.withColumns({"root": F.col("id"), "_next": F.col("parent"), "level": F.lit(0)})
-    links = comments.select(F.col("path").alias("_p"), F.col("id").alias("_i"), F.col("parent").alias("_up"))
-    for _ in range(depth):
-        up = rows.join(links, (rows["path"] == links["_p"]) & (rows["_next"] == links["_i"]), "left")
-        rows = up.select(*[c for c in comments.columns], F.coalesce("_i", "root").alias("root"), F.col("_up").alias("_next"), (F.col("level") + F.col("_i").isNotNull().cast("int")).alias("level"))
-    return rows.drop("_next")
+def comment_threads(comments: DataFrame) -> DataFrame:
+    """Add ``root`` and ``level`` by following ``parent`` until no row moves, twice as far each round.
+
+    A parent that is not there ends the thread. Parents in a circle have no root: an error.
+    """
+    links = comments.select("path", "id", "parent").distinct()
+    now = cut(links.select("*", F.col("id").alias("root"), F.col("parent").alias("_next"), F.lit(0).alias("level")))
+    # After n rounds every row is 2**n - 1 hops up, or at its root.
+    for _ in range(now.count().bit_length() + 1):
+        up = now.select(F.col("path").alias("_p"), F.col("id").alias("_i"), F.col("root").alias("_root"), F.col("_next").alias("_up"), F.col("level").alias("_level"))
+        moving = now.where("_next is not null")
+        met = moving.join(up, (moving["path"] == up["_p"]) & (moving["_next"] == up["_i"]), "left")
+        there = F.col("_i").isNotNull()
+        moved = met.select("path", "id", "parent", F.when(there, F.col("_root")).otherwise(F.col("root")).alias("root"), F.col("_up").alias("_next"), (F.col("level") + F.coalesce(F.col("_level") + 1, F.lit(0))).alias("level"))
+        now = cut(now.where("_next is null").unionByName(moved))
+        if not now.where("_next is not null").limit(1).count():
+            break
+    else:
+        raise ValueError("parents form a circle")
+    found = now.select(*[F.col(c).alias(f"_{c}") for c in ("path", "id", "parent")], "root", "level")
+    same = [comments[c].eqNullSafe(found[f"_{c}"]) for c in ("path", "id", "parent")]
+    return comments.join(found, same).select(*comments.columns, "root", "level")
 
 
 def record_issues(records: DataFrame) -> DataFrame:

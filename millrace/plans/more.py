@@ -56,8 +56,7 @@ def merged_runs(spark, sf_dir):
 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 9""")
 def reply_threads(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("id"), F.when(F.col("turn") > 0, F.col("turn") - 1).alias("parent"))
-    found = meetings.comment_threads(rows, depth=8)
-    return found.where("level < 9 and root = 0").select(F.col("path").alias("conv_id"), "id", "root", "level")
+    return meetings.comment_threads(rows).select(F.col("path").alias("conv_id"), "id", "root", "level")
 
 
 @query("""WITH a AS (SELECT n_name AS person, lower(n_name) AS alias FROM nation UNION ALL SELECT n_name, lower(r_name) FROM nation JOIN region ON n_regionkey = r_regionkey),

@@ -216,6 +216,19 @@ def test_people_and_threads(spark):
     assert rows(meetings.comment_threads(comments), "path", "id", "root", "level") == [("p", "1", "1", 0), ("p", "2", "1", 1), ("p", "3", "1", 2), ("q", "2", "2", 0)]
 
 
+def test_comment_threads_beyond_eight_hops(spark):
+    comments = spark.createDataFrame([(p, i, i - 1 if i else None) for p, n in (("p", 100), ("q", 10)) for i in range(n)], "path string, id long, parent long")
+    assert rows(meetings.comment_threads(comments), "path", "id", "root", "level") == sorted([(p, i, 0, i) for p, n in (("p", 100), ("q", 10)) for i in range(n)], key=repr)
+    with pytest.raises(ValueError):
+        meetings.comment_threads(spark.createDataFrame([("p", 1, 2), ("p", 2, 1)], "path string, id long, parent long"))
+
+
+def test_reply_threads_keep_long_conversations(spark, tmp_path):
+    from millrace.plans.more import reply_threads
+
+    spark.createDataFrame([(1, i, "user", "x") for i in range(25)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert rows(reply_threads(spark, str(tmp_path)), "conv_id", "id", "root", "level") == sorted([(1, i, 0, i) for i in range(25)], key=repr)
+
 def test_inventory(spark):
     held = spark.createDataFrame([("r1", "a", "complete"), ("r1", "b", "partial"), ("r2", "b", "complete")], "repo string, home string, status string")
     assert rows(inventory.status_matrix(held, ["a", "b"])) == [("r1", "complete", "partial"), ("r2", None, "complete")]
