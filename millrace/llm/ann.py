@@ -86,23 +86,27 @@ def _words(codes: np.ndarray) -> np.ndarray:
 
 
 def nearest(ids: np.ndarray, data: np.ndarray, index: Index, qid: int, query: np.ndarray, code: np.ndarray, k: int, radius: int) -> list[tuple[int, float]]:
-    """The k best of a block, nearest first, ties to the smaller id; the radius grows until k are found."""
+    """The k best ids of a block by their best rows, nearest first, ties to the smaller id; the radius grows until k are found."""
     bits = index.codes.shape[1] * PIECE
-    others = int((ids != qid).sum())
     while True:
         found = index.within(code, radius)
         found = found[ids[found] != qid]
-        if len(found) >= min(k, others) or radius >= bits:
+        if radius >= bits or (len(found) >= k and len(np.unique(ids[found])) >= k):
             break
         radius = min(bits, radius + PIECE)
     if not len(found):
         return []
     rough = data[found] @ query
     if len(found) > k:
-        found = found[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9]
+        names, which = np.unique(ids[found], return_inverse=True)
+        top = np.full(len(names), -np.inf)
+        np.maximum.at(top, which, rough)
+        if len(names) > k:
+            found = found[rough >= np.partition(top, len(top) - k)[len(top) - k] - 1e-9]
     own = data[found]
     scores = (own * query).sum(axis=1)  # row by row, so equal vectors score alike wherever they lie
-    best = np.lexsort((ids[found], -scores))[:k]
+    best = np.lexsort((ids[found], -scores))
+    best = best[np.sort(np.unique(ids[found[best]], return_index=True)[1])][:k]
     return [(int(ids[found[i]]), float(scores[i])) for i in best]
 
 

@@ -126,6 +126,13 @@ def test_search_ties_and_odd_rows(spark):
     assert twice == [(0, 1, 1), (0, 2, 2)]
 
 
+def test_search_repeated_rows_take_one_place(spark):
+    v = [1.0, 1.0, 0.0]
+    data = [(0, v)] + [(i, [1.0, 1.0, 0.01 * i]) for i in (1, 2)] * 3 + [(i, [1.0, 1.0, 0.1 * i]) for i in range(3, 9)]
+    got = rows(ann.search(frame(spark, data).coalesce(1)), "query_id", "rank", "vec_id")
+    assert got == [(0, k, k) for k in range(1, 6)]
+
+
 def test_every_code_within_the_radius_is_found():
     rng = np.random.default_rng(4)
     codes = rng.integers(0, 256, (3000, 8), dtype=np.uint8)
