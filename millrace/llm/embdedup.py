@@ -19,18 +19,33 @@ COSINE = 0.95
 #: Bits of a code: more than the dimensions, from several rotations side by side.
 BITS = 256
 SEED = 20240607
-#: A pair exactly at the threshold meets in no band with about this probability (as if the bands' bits
-#: were independent); closer pairs with far less.
+#: A pair exactly at the threshold meets in no band with this probability at most, if its differing
+#: bits are binomial; closer pairs with far less.
 MISSED = 1e-6
 #: Rows of a band's bucket that meet in one task; a larger bucket is cut in blocks that meet in pairs.
 BLOCK = 4096
 
 
+def missed(bits: int, bands: int, cosine: float = COSINE) -> float:
+    """How likely a pair at the threshold meets in no band: all bands draw on the same BITS, of which it differs in a binomial number."""
+    share, d = math.acos(cosine) / math.pi, np.arange(BITS + 1)
+    log = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, BITS + 1)))))
+    likely = np.exp(log[BITS] - log[d] - log[BITS - d] + d * math.log(share) + (BITS - d) * math.log1p(-share))
+    rest = np.maximum(BITS - d, bits)
+    same = np.where(BITS - d >= bits, np.exp(log[rest] - log[rest - bits] - log[BITS] + log[BITS - bits]), 0.0)
+    return float((likely * np.exp(bands * np.log1p(-np.minimum(same, 1 - 1e-12)))).sum())
+
+
 def plan_bands(vectors: int, cosine: float = COSINE) -> tuple[int, int]:
     """Bits a band and number of bands: buckets stay small as rows grow, recall stays put."""
-    same = 1 - math.acos(cosine) / math.pi
     bits = min(28, max(8, math.ceil(math.log2(max(2, vectors))) - 2))
-    return bits, math.ceil(math.log(MISSED) / math.log1p(-(same**bits)))
+    low, high = 0, 1
+    while missed(bits, high, cosine) > MISSED:
+        low, high = high, 2 * high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if missed(bits, middle, cosine) > MISSED else (low, middle)
+    return bits, high
 
 
 @lru_cache(maxsize=4)

@@ -88,6 +88,20 @@ def test_bands_follow_the_rows():
         assert (1 - (1 - np.arccos(0.95) / np.pi) ** bits) ** bands <= embdedup.MISSED * 1.001
 
 
+def test_codes_at_the_threshold_meet_in_a_band():
+    """Distances of real codes, not of independent bands: no more is missed as rows grow."""
+    rng = np.random.default_rng(3)
+    one, other = vectors.unit(rng.standard_normal((100_000, 64))), rng.standard_normal((100_000, 64))
+    other = vectors.unit(other - (other * one).sum(axis=1, keepdims=True) * one)
+    turn = embdedup._turn(64)
+    two = 0.95 * one + np.sqrt(1 - 0.95**2) * other
+    differ = np.bincount(((one @ turn > 0) != (two @ turn > 0)).sum(axis=1), minlength=257)
+    for n in (51_282, 3 * 10**6):
+        bits, bands = embdedup.plan_bands(n)
+        alike = np.array([np.prod([(256 - d - i) / (256 - i) for i in range(bits)]) if 256 - d >= bits else 0.0 for d in range(257)])
+        assert (differ * (1 - alike) ** bands).sum() / differ.sum() < 1e-5
+
+
 # -- nearest neighbours --------------------------------------------------------------
 
 
