@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
-from .vectors import matrix, rotation, unit
+from ..session import cut, join_small
+from .vectors import matrices, rotation, unit
 
 #: Bits of a substring of the code. One table of 256 lists per substring and block.
 PIECE = 8
@@ -20,7 +20,9 @@ SAMPLE = 20_000
 #: The radius searched, as a share of the code's bits. Every code within it is reranked.
 RADIUS = 0.47
 #: Vectors of a block of the index, and queries of a block.
-BLOCK, QUERIES = 16_384, 2_048
+BLOCK, QUERIES = 8_192, 2_048
+#: Lists of a substring's table that are probed one by one; beyond, the rows' substrings are looked up in the probes.
+PROBES = 24
 STEPS = 25
 SEED = 7
 
@@ -51,6 +53,7 @@ class Index:
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
+        self.columns = np.ascontiguousarray(codes.T)
         self.order = [np.argsort(c, kind="stable") for c in codes.T]
         self.starts = [np.searchsorted(c[o], np.arange(257)) for c, o in zip(codes.T, self.order)]
         self.words = _words(codes)
@@ -70,8 +73,14 @@ class Index:
             if reach >= PIECE:
                 seen[:] = True
                 break
+            probes = _MASKS[reach] ^ code[j]
+            if len(probes) > PROBES:
+                wanted = np.zeros(256, bool)
+                wanted[probes] = True
+                seen |= wanted[self.columns[j]]
+                continue
             order, starts = self.order[j], self.starts[j]
-            for v in _MASKS[reach] ^ code[j]:
+            for v in probes:
                 seen[order[starts[v] : starts[int(v) + 1]]] = True
         found = np.flatnonzero(seen)
         bits = np.bitwise_count(self.words[found] ^ _words(code[None])).sum(axis=1)
@@ -111,7 +120,7 @@ def nearest(ids: np.ndarray, data: np.ndarray, index: Index, qid: int, query: np
 
 
 def _pack(block: int, every: int, queries: bool):
-    """Blocks of unit vectors as packed rows; vectors that take no part are left out."""
+    """Blocks of unit vectors of one length as packed rows; vectors that take no part are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(ids, data):
@@ -119,17 +128,18 @@ def _pack(block: int, every: int, queries: bool):
 
         held: dict[int, list] = {}
         for batch in batches:
-            data, at = matrix(batch.column(1))
-            ids = batch.column(0).to_pylist()
-            at = [(i, a) for i, a in enumerate(at) if ids[a] is not None and (not queries or ids[a] % every == 0)]
-            if not at:
-                continue
-            own = held.setdefault(data.shape[1], [np.zeros(0, np.int64), np.zeros((0, data.shape[1]))])
-            own[0] = np.concatenate([own[0], np.array([ids[a] for _, a in at], np.int64)])
-            own[1] = np.concatenate([own[1], unit(data[[i for i, _ in at]])])
-            while len(own[0]) >= block:
-                yield out(own[0][:block], own[1][:block])
-                own[0], own[1] = own[0][block:], own[1][block:]
+            ids = batch.column(0)
+            known, ids = np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0))
+            wanted = known & (ids % every == 0) if queries else known
+            for data, at in matrices(batch.column(1)):
+                data, at = data[wanted[at]], at[wanted[at]]
+                if not len(at):
+                    continue
+                own = held.setdefault(data.shape[1], [np.zeros(0, np.int64), np.zeros((0, data.shape[1]))])
+                own[0], own[1] = np.concatenate([own[0], ids[at]]), np.concatenate([own[1], unit(data)])
+                while len(own[0]) >= block:
+                    yield out(own[0][:block], own[1][:block])
+                    own[0], own[1] = own[0][block:], own[1][block:]
         for ids, data in held.values():
             if len(ids):
                 yield out(ids, data)
@@ -142,24 +152,47 @@ def _turn(turns: dict[int, np.ndarray], dims: int) -> np.ndarray:
     return turns[dims] if dims in turns else rotation(dims, dims, SEED)
 
 
+def _best(found: list[tuple[int, float]], k: int) -> list[tuple[int, float]]:
+    """The first k ids, nearest first, ties to the smaller id, each by its best row."""
+    out, seen = [], set()
+    for vec, score in sorted(found, key=lambda x: (-x[1], x[0])):
+        if vec not in seen:
+            seen.add(vec)
+            out.append((vec, score))
+            if len(out) == k:
+                break
+    return out
+
+
 def _search(turns: dict[int, np.ndarray], k: int, share: float):
-    """Search each row's block of the index for each query of its block of queries."""
+    """Cells of one block of queries, which comes first, and blocks of the index, which stream past it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None,)
+        cell, asked, best = None, [], {}
+
+        def done():
+            out = [(qid, vec, score) for qid, found in best.items() for vec, score in found]
+            if out:
+                q, v, s = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
-            for dims, ids, data, qids, qdata in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if last[0] != ids:
-                    rows = np.frombuffer(data).reshape(-1, dims)
-                    last = (ids, np.frombuffer(ids, "<i8"), rows, Index(pieces(rows, _turn(turns, dims))))
-                queries = np.frombuffer(qdata).reshape(-1, dims)
-                out = []
-                for qid, query, code in zip(np.frombuffer(qids, "<i8"), queries, pieces(queries, _turn(turns, dims))):
-                    radius = int(share * last[3].codes.shape[1] * PIECE)
-                    out += [(int(qid), *x) for x in nearest(last[1], last[2], last[3], qid, query, code, k, radius)]
-                if out:
-                    q, v, s = zip(*out)
-                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
+            for own, kind, dims, packed, data in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if own != cell:
+                    yield from done()
+                    cell, asked, best = own, [], {}
+                ids, rows = np.frombuffer(packed, "<i8"), np.frombuffer(data).reshape(-1, dims)
+                codes = pieces(rows, _turn(turns, dims))
+                if not kind:
+                    asked.append((ids, rows, codes))
+                    continue
+                index = Index(codes)
+                radius = int(share * codes.shape[1] * PIECE)
+                for qids, queries, qcodes in asked:
+                    for qid, query, code in zip(qids.tolist(), queries, qcodes):
+                        found = nearest(ids, rows, index, qid, query, code, k, radius)
+                        best[qid] = _best(best[qid] + found, k) if qid in best else found
+        yield from done()
 
     return run
 
@@ -169,8 +202,7 @@ def learn(df: DataFrame, sample: int = SAMPLE) -> dict[int, np.ndarray]:
     rows = df.select(F.col("vec_id"), F.col("embedding")).where("embedding is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
     data: dict[int, list] = {}
     for batch in rows.to_batches():
-        own, _ = matrix(batch.column(1))
-        if len(own):
+        for own, _ in matrices(batch.column(1)):
             data.setdefault(own.shape[1], []).append(unit(own))
     return {width: learn_rotation(np.concatenate(parts)) for width, parts in data.items()}
 
@@ -179,31 +211,35 @@ def search(df: DataFrame, every: int = 50, k: int = 5, radius: float = RADIUS, s
     """``(query_id, rank, vec_id, score)``: the k nearest by cosine of each id divisible by ``every``.
 
     Every vector is indexed; within a block, all codes inside the radius are retrieved
-    and reranked by exact cosines, and the radius grows where fewer than k lie in it.
+    and reranked by exact cosines, and the radius grows where fewer than k ids lie in it.
     Ties go to the smaller vec_id. Null ids, null, empty and zero vectors and those
-    with null or non-finite components take no part. A repeated id's rows are
+    with null or non-finite components take no part. Each length of vectors is a search
+    of its own, however many rows have it: a query's neighbours have its length. A repeated id's rows are
     candidates of one id and never of its own query; repeated queries return one list.
-    Fewer than k other ids give all of them. An empty table gives an empty result; other
-    columns are ignored.
+    Fewer than k other ids give all of them. Very long vectors make longer codes. An empty
+    table gives an empty result; other columns are ignored.
 
-    Blocks bound the memory of a task: each block of the index meets each block of the
-    stated queries, and returns k rows a query.
+    The blocks of the index are dealt to cells; each block of the stated queries visits every cell
+    of its length, and a cell returns k rows a query however many blocks it holds.
     """
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     turns = learn(rows, sample)
     packed = "dims int, ids binary, data binary"
     index = cut(rows.mapInArrow(_pack(block, every, False), packed).withColumn("block", F.monotonically_increasing_id()))
     asked = rows.where(F.col("vec_id") % every == 0)
-    tasks = max(1, -(-asked.count() // queries))
-    asked = asked.repartition(tasks).mapInArrow(_pack(queries, every, True), packed)
-    asked = cut(asked.select("dims", F.col("ids").alias("qids"), F.col("data").alias("qdata"), F.monotonically_increasing_id().alias("q")))
-    salts = max(1, min(index.count(), 4 * df.sparkSession.sparkContext.defaultParallelism))
-    # The numbers of the blocks of queries: one row for QUERIES queries.
-    numbers = asked.select("q", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "dims", "qids", "qdata")
-    pairs = index.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")).join(numbers.select("q", "salt", "dims"), ["salt", "dims"])
-    met = pairs.join(numbers.select("q", "salt", "qids", "qdata"), ["q", "salt"]).select("dims", "ids", "data", "qids", "qdata")
-    found = met.mapInArrow(_search(turns, k, radius), "query_id long, vec_id long, score double")
+    groups = max(1, -(-asked.count() // queries))
+    asked = cut(asked.repartition(groups).mapInArrow(_pack(queries, every, True), packed).withColumn("q", F.monotonically_increasing_id()))
+    slots = 4 * df.sparkSession.sparkContext.defaultParallelism
+    # How many cells a block of queries visits: as many as there are blocks, as far as tasks can run.
+    salts = max(1, min(index.count(), slots))
+    blocks = index.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
+    numbers = asked.select("q", "dims")  # a row for QUERIES queries
+    meets = join_small(blocks, numbers, "dims", "inner").select("q", "salt", F.lit(1).alias("kind"), "dims", "ids", "data")
+    visits = asked.select("q", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), "dims", "ids", "data")
+    cells = visits.unionByName(meets).withColumn("cell", F.xxhash64("q", "salt"))
+    tasks = min(2 * slots, max(1, salts * groups))
+    gathered = cells.repartition(tasks, "cell").sortWithinPartitions("cell", "kind").select("cell", "kind", "dims", "ids", "data")
+    found = gathered.mapInArrow(_search(turns, k, radius), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-

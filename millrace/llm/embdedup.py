@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ..session import cut, join_small
-from .vectors import matrix, pack_bits, rotation, unit
+from ..session import cut
+from .buckets import Groups, bounds, crowded, deal, gather, neighbours, numbers, sides, stretches, words
+from .vectors import matrices, pack_bits, rotation, unit
 
 COSINE = 0.95
 #: Bits of a code: more than the dimensions, from several rotations side by side.
@@ -22,7 +23,7 @@ SEED = 20240607
 #: A pair exactly at the threshold meets in no band with this probability at most, if its differing
 #: bits are binomial; closer pairs with far less.
 MISSED = 1e-6
-#: Rows of a band's bucket that meet in one task; a larger bucket is cut in blocks that meet in pairs.
+#: Rows of a bucket's block; the blocks of a larger bucket meet in pairs, each pair in a task of its own.
 BLOCK = 4096
 
 
@@ -58,21 +59,20 @@ def _turn(dims: int) -> np.ndarray:
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unit vectors with codes and correction factors; one row per vector that takes part."""
     for batch in batches:
-        data, at = matrix(batch.column(1))
-        if not len(at):
-            continue
-        u = unit(data)
-        r = u @ _turn(u.shape[1])
-        factor = np.abs(r).sum(axis=1) / math.sqrt(BITS)  # inner product of the vector and its code
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0).take(pa.array(at)),
-                pa.array([x.tobytes() for x in u], pa.binary()),
-                pa.array([x.tobytes() for x in pack_bits(r > 0)], pa.binary()),
-                pa.array(factor),
-            ],
-            names=["vec_id", "unit", "code", "factor"],
-        )
+        for data, at in matrices(batch.column(1)):
+            u = unit(data)
+            r = u @ _turn(u.shape[1])
+            factor = np.abs(r).sum(axis=1) / math.sqrt(BITS)  # inner product of the vector and its code
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(at)),
+                    pa.array(np.full(len(at), u.shape[1], np.int32)),
+                    pa.array([x.tobytes() for x in u], pa.binary()),
+                    pa.array([x.tobytes() for x in pack_bits(r > 0)], pa.binary()),
+                    pa.array(factor),
+                ],
+                names=["vec_id", "dims", "unit", "code", "factor"],
+            )
 
 
 def _band_masks(bits: int, bands: int) -> np.ndarray:
@@ -93,12 +93,16 @@ def _mix(words: np.ndarray) -> np.ndarray:
 
 
 def _index(masks: np.ndarray):
+    """A row for each band of each node; lengths of vectors have bands of their own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = np.stack([np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]) if batch.num_rows else np.zeros((0, 4), np.uint64)
+            if not batch.num_rows:
+                continue
+            codes, first = words(batch.column(1)), np.asarray(batch.column(2)).astype(np.int64) * _BANDS
             for band, mask in enumerate(masks):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(codes), band, np.int32)), pa.array(_mix(codes & mask)), batch.column(0), batch.column(1)],
+                    [pa.array(first + band), pa.array(_mix(codes & mask)), batch.column(0), batch.column(1)],
                     names=["band", "key", "node", "code"],
                 )
 
@@ -107,7 +111,10 @@ def _index(masks: np.ndarray):
 
 #: Deviations that a confidence bound spans.
 WIDTH = 6.0
-_SHORT = 48
+#: Rows of a bucket that returns its pairs; a larger one is settled where it meets.
+SMALL = 48
+#: More than the bands of any plan.
+_BANDS = 1 << 20
 
 
 def _furthest(cosine: float) -> float:
@@ -117,10 +124,9 @@ def _furthest(cosine: float) -> float:
 
 
 def _pairs(masks: np.ndarray, cosine: float):
-    """Pairs of bucket rows whose codes leave them open, each in the first band it shares.
+    """Pairs of small buckets whose codes leave them open, each in the first band it shares.
 
-    A share of differing bits estimates angle / pi without bias. Rows come sorted by
-    bucket and block pair, and only the bucket being read is held.
+    A share of differing bits estimates angle / pi without bias.
     """
     most = _furthest(cosine)
 
@@ -130,73 +136,86 @@ def _pairs(masks: np.ndarray, cosine: float):
             fresh &= (band <= j) | ((x & masks[j]) != 0).any(axis=1)
         return fresh
 
-    def keep(x, band):
-        hit = np.bitwise_count(x).sum(axis=1) <= most
-        hit[hit] = first(x[hit], band[hit])
-        return hit
-
-    def solve(parts):
-        band, key, one, two, side, node, code = (np.concatenate([p[i] for p in parts]) for i in range(7))
-        change = np.flatnonzero((band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])) + 1
-        starts, stops = np.concatenate(([0], change)), np.concatenate((change, [len(key)]))
-        sizes = stops - starts
-        short = (sizes < _SHORT) & (one[starts] == two[starts])
-        end, left = np.repeat(np.where(short, stops, 0), sizes), np.arange(len(key))
-        for step in range(1, _SHORT):
-            left = left[left + step < end[left]]
-            if not len(left):
-                break
-            hit = left[keep(code[left] ^ code[left + step], band[left])]
-            if len(hit):
-                yield node[hit], node[hit + step]
-        for s, e in zip(starts[~short], stops[~short]):
-            rows = np.arange(s, e)
-            one_block = one[s] == two[s]
-            lefts, rights = (rows, rows) if one_block else (rows[side[s:e] == one[s]], rows[side[s:e] == two[s]])
-            for i in lefts:
-                others = rights[rights > i] if one_block else rights
-                hit = others[keep(code[others] ^ code[i], np.full(len(others), band[s]))]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in stretches(batches, (numbers, words)):
+            band, node, code = columns[0] % _BANDS, columns[5], columns[6]
+            for left, right in neighbours(columns, SMALL + 1):
+                x = code[left] ^ code[right]
+                hit = np.flatnonzero(np.bitwise_count(x).sum(axis=1) <= most)
+                hit = hit[first(x[hit], band[left[hit]])]
                 if len(hit):
-                    yield np.full(len(hit), node[i]), node[hit]
+                    a, b = node[left[hit]], node[right[hit]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+    return run
 
-        def out(parts):
-            for a, b in solve(parts):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [np.asarray(batch.column(i)) for i in range(6)]
-            now.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(batch.num_rows, -1))
-            same = np.ones(batch.num_rows, bool)
-            for i in range(4):
-                same &= now[i] == now[i][-1]
-            head = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if head or (held and any(held[0][i][0] != now[i][-1] for i in range(4))):
-                yield from out([*held, [x[:head] for x in now]])
-                held = []
-            held.append([x[head:] for x in now])
-        if held:
-            yield from out(held)
+def _settle(masks: np.ndarray, cosine: float):
+    """Links of crowded buckets, counted where their rows meet: ``(a, b, others)``.
+
+    A row with a null b says how many rows link with a through pairs that share this band
+    first; the others are a spanning forest of those links. So a bucket returns a number of
+    rows that follows its size, not its pairs. Codes, estimates and exact cosines decide in
+    the same order as for small buckets.
+    """
+    most = _furthest(cosine)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in stretches(batches, (numbers, words, words, numbers, numbers)):
+            node, code, factor, rows = columns[5], columns[6], columns[8], columns[9]
+            for start, stop in zip(*bounds(columns)):
+                units = np.ascontiguousarray(columns[7][start:stop]).view(np.float64)
+                guess, slack = _decoded(code[start:stop], factor[start:stop], units.shape[1], cosine)
+                earlier = masks[: int(columns[0][start] % _BANDS)]
+                count, groups, a, b = np.zeros(stop - start, np.int64), Groups(stop - start), [], []
+                for i, others in sides(columns, start, stop):
+                    others = others[np.bitwise_count(code[others] ^ code[i]).sum(axis=1) <= most]
+                    for mask in earlier:
+                        if not len(others):
+                            break
+                        others = others[((code[others] ^ code[i]) & mask).any(axis=1)]
+                    at, others = i - start, others - start
+                    others = others[units[others] @ guess[at] + slack[at] >= cosine]
+                    others = others[(units[others] * units[at]).sum(axis=1) >= cosine]
+                    if not len(others):
+                        continue
+                    count[at] += rows[start + others].sum()
+                    count[others] += rows[i]
+                    new = groups.unite(at, others)
+                    a += [node[i]] * len(new)
+                    b += node[start + new].tolist()
+                hit = np.flatnonzero(count)
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.concatenate([node[start + hit], np.array(a, np.int64)])),
+                            pa.array([None] * len(hit) + b, pa.int64()),
+                            pa.array(np.concatenate([count[hit], np.zeros(len(a), np.int64)])),
+                        ],
+                        names=["a", "b", "others"],
+                    )
 
     return run
 
 
-def estimate(code: np.ndarray, factor: np.ndarray, other: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Unbiased inner products of coded unit vectors with others, and the slack at the threshold.
+def _decoded(code: np.ndarray, factor: np.ndarray, dims: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors whose inner product with a unit vector estimates the coded one's without bias, and the slack at the threshold.
 
     For a pair at the threshold the error is the sine of its angle times an inner product
     with the code's remainder: never more than sine * sqrt(1 - f * f) / f, and under
     WIDTH / sqrt(BITS - 1) of that with the confidence of WIDTH deviations.
     """
     signs = np.unpackbits(code.astype(">u8").view(np.uint8).reshape(len(code), -1), axis=1)[:, :BITS].astype(np.float64) * 2 - 1
-    decoded = signs @ (_turn(other.shape[1]).T / math.sqrt(BITS))
+    decoded = signs @ (_turn(dims).T / math.sqrt(BITS))
     sine = math.sqrt(1 - cosine * cosine)
     slack = sine * np.sqrt(np.clip(1 - factor * factor, 0, 1)) / factor * min(1.0, WIDTH / math.sqrt(BITS - 1))
-    return (decoded * other).sum(axis=1) / factor, slack
+    return decoded / factor[:, None], slack
+
+
+def estimate(code: np.ndarray, factor: np.ndarray, other: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Unbiased inner products of coded unit vectors with others, row by row, and the slack at the threshold."""
+    guess, slack = _decoded(code, factor, other.shape[1], cosine)
+    return (guess * other).sum(axis=1), slack
 
 
 def _check(cosine: float):
@@ -204,74 +223,69 @@ def _check(cosine: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            n = batch.num_rows
-            ua, ub, code = (np.frombuffer(b"".join(batch.column(i).to_pylist()), kind).reshape(n, -1) for i, kind in ((2, np.float64), (3, np.float64), (4, np.uint64)))
-            value, slack = estimate(code, np.asarray(batch.column(5)), ub, cosine)
-            hit = value + slack >= cosine
-            hit[hit] = (ua[hit] * ub[hit]).sum(axis=1) >= cosine
-            hit = pa.array(hit)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit)], names=["a", "b"])
+            factor = np.asarray(batch.column(6))
+            lengths = np.asarray(batch.column(2))
+            for dims in np.unique(lengths):
+                own = np.flatnonzero(lengths == dims)
+                part = batch.take(pa.array(own))
+                ua, ub = (words(part.column(i)).view(np.float64) for i in (3, 4))
+                value, slack = estimate(words(part.column(5)), factor[own], ub, cosine)
+                hit = value + slack >= cosine
+                hit[hit] = (ua[hit] * ub[hit]).sum(axis=1) >= cosine
+                hit = pa.array(hit)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(hit), part.column(1).filter(hit)], names=["a", "b"])
 
     return run
 
 
-def embedding_components(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
-    """``(vec_id, n_links, component_id, kept)`` for every row.
+def embedding_components(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, block: int = BLOCK, small: int = SMALL) -> DataFrame:
+    """``(vec_id, n_links, component_id)`` for every row that takes part.
 
     Equal vectors are one node whose rows count by number, so copies meet nobody twice.
-    Null, empty and zero vectors and those with null or non-finite components link with
-    nothing: n_links 0 and their own component. Vectors of different lengths never link.
-    Repeated rows count as other vectors. A null vec_id counts as a link but names
-    no component unless it is alone in it (component_id null); kept is then false.
-    An empty table gives an empty result; other columns are ignored.
+    Null, empty and zero vectors and those with null or non-finite components are left
+    out here. Vectors of different lengths never link; each length is a search of its own, however
+    many rows have it. Repeated rows count as other vectors. A null vec_id counts as a link but names
+    no component unless it is alone in it (component_id null). Very long vectors keep
+    their codes of BITS bits, and only exact cosines link. An empty table gives an empty
+    result; other columns are ignored.
     """
     rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))
-    coded = cut(rows.mapInArrow(_encode, "vec_id long, unit binary, code binary, factor double"))
+    coded = cut(rows.mapInArrow(_encode, "vec_id long, dims int, unit binary, code binary, factor double"))
     nodes = cut(
-        coded.groupBy("unit").agg(F.first("code").alias("code"), F.first("factor").alias("factor"), F.count(F.lit(1)).alias("rows"), F.min("vec_id").alias("least"))
+        coded.groupBy("unit").agg(F.first("dims").alias("dims"), F.first("code").alias("code"), F.first("factor").alias("factor"), F.count(F.lit(1)).alias("rows"), F.min("vec_id").alias("least"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    shape = nodes.agg(F.count(F.lit(1)).alias("n")).first()
-    bits, bands = plan_bands(shape["n"], cosine)
-    masks = _band_masks(bits, bands)
-    index = nodes.select("node", "code").mapInArrow(_index(masks), "band int, key long, node long, code binary")
-    sizes = None
-    if shape["n"] > block:  # else no bucket can hold more
-        sizes = index.groupBy("band", "key").count().where(F.col("count") > block)
-        sizes = cut(sizes.select("band", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
-    if sizes is not None and sizes.limit(1).count():
-        index = join_small(index, sizes, ["band", "key"]).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        index = index.withColumn("side", F.pmod(F.hash("node"), "blocks"))
-        index = index.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        index = index.withColumns({"one": F.least("side", "other"), "two": F.greatest("side", "other")})
-    else:
-        index = index.withColumns({c: F.lit(0) for c in ("one", "two", "side")})
-    order = ["band", "key", "one", "two"]
-    index = index.select(*order, "side", "node", "code").repartition(*order).sortWithinPartitions(*order)
-    open_ = index.mapInArrow(_pairs(masks, cosine), "a long, b long")
-    coded_side = nodes.select(F.col("node").alias("a"), F.col("unit").alias("ua"), "code", "factor")
-    with_units = (
-        open_.join(coded_side, "a").join(nodes.select(F.col("node").alias("b"), F.col("unit").alias("ub")), "b")
-        .where("octet_length(ua) = octet_length(ub)").select("a", "b", "ua", "ub", "code", "factor")
-    )
+    masks = _band_masks(*plan_bands(nodes.count(), cosine))
+    index = nodes.select("node", "code", "dims").mapInArrow(_index(masks), "band long, key long, node long, code binary")
+    hot = crowded(index, small, block)
+    cold, warm = deal(index, hot)
+    open_ = gather(cold, "node", "code").mapInArrow(_pairs(masks, cosine), "a long, b long")
+    coded_side = nodes.select(F.col("node").alias("a"), "dims", F.col("unit").alias("ua"), "code", "factor")
+    with_units = open_.join(coded_side, "a").join(nodes.select(F.col("node").alias("b"), F.col("unit").alias("ub")), "b").select("a", "b", "dims", "ua", "ub", "code", "factor")
     links = cut(with_units.mapInArrow(_check(cosine), "a long, b long"))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(nodes.select(F.col("node").alias("b"), "rows"), "b").groupBy("a").agg(F.sum("rows").alias("others"))
+    others = both.join(nodes.select(F.col("node").alias("b"), "rows"), "b").select("a", F.col("rows").alias("others"))
+    if hot.limit(1).count():
+        full = warm.join(nodes.select("node", "unit", "factor", "rows"), "node")
+        settled = cut(gather(full, "node", "code", "unit", "factor", "rows").mapInArrow(_settle(masks, cosine), "a long, b long, others long"))
+        links = links.unionByName(settled.where("b is not null").select("a", "b"))
+        others = others.unionByName(settled.where("b is null").select("a", "others"))
     roots = components(links)
     placed = (
         nodes.select("node", "unit", "rows", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        .join(others.withColumnRenamed("a", "node"), "node", "left")
+        .join(others.groupBy(F.col("a").alias("node")).agg(F.sum("others").alias("others")), "node", "left")
     )
     lowest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     placed = placed.join(lowest, "root").select("unit", (F.coalesce("others", F.lit(0)) + F.col("rows") - 1).alias("n_links"), "component_id")
     return coded.select("vec_id", "unit").join(placed, "unit").select("vec_id", "n_links", "component_id")
 
 
-def embedding_dedup(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
-    """``embedding_components`` with the rows that take no part, and ``kept``."""
-    linked = embedding_components(df, vec_id, embedding, cosine, block)
+def embedding_dedup(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, block: int = BLOCK, small: int = SMALL) -> DataFrame:
+    """``embedding_components`` with ``kept``, and with the rows that take no part: n_links 0, their own component.
+
+    ``kept`` is false where vec_id is null.
+    """
+    linked = embedding_components(df, vec_id, embedding, cosine, block, small)
     alone = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding")).mapInArrow(_left_out, "vec_id long")
     alone = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
@@ -279,7 +293,7 @@ def embedding_dedup(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
 
 def _left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        _, at = matrix(batch.column(1))
         keep = np.ones(batch.num_rows, bool)
-        keep[at] = False
+        for _, at in matrices(batch.column(1)):
+            keep[at] = False
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep))], names=["vec_id"])

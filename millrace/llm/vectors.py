@@ -6,33 +6,31 @@ import numpy as np
 import pyarrow as pa
 
 
-def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of a list column that take part, as double precision, and their positions.
+def matrices(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The rows of a list column that take part, as double precision, and their positions: one pair for each length.
 
-    Null vectors, vectors with null or non-finite components, zero vectors and empty
-    ones take no part; nor do vectors whose length is not that of most in the batch.
+    Null vectors, vectors with null or non-finite components, zero vectors and empty ones take no part.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    rows = [None if v is None or any(x is None for x in v) else np.asarray(v, np.float64) for v in column.to_pylist()] if column.null_count or column.flatten().null_count else None
-    if rows is None:
-        offsets = np.asarray(column.offsets)
-        widths = np.diff(offsets)
-        flat = np.asarray(column.flatten(), np.float64)
-        if len(widths) and (widths == widths[0]).all() and widths[0]:
-            data, at = flat.reshape(len(widths), widths[0]), np.arange(len(widths))
-        else:
-            base = offsets[0] if len(offsets) else 0
-            rows = [flat[a - base : b - base] for a, b in zip(offsets[:-1], offsets[1:])]
-    if rows is not None:
-        sizes = [len(v) for v in rows if v is not None and len(v)]
-        if not sizes:
-            return np.zeros((0, 1)), np.zeros(0, np.int64)
-        width = max(set(sizes), key=sizes.count)
-        at = np.array([i for i, v in enumerate(rows) if v is not None and len(v) == width], np.int64)
-        data = np.stack([rows[i] for i in at])
-    good = np.isfinite(data).all(axis=1) & (np.abs(data).max(axis=1) > 0)
-    return data[good], at[good]
+    offsets = np.asarray(column.offsets).astype(np.int64)
+    widths = np.diff(offsets)
+    if not len(widths):
+        return []
+    values = column.values
+    flat = np.asarray(values.to_numpy(zero_copy_only=False), np.float64)
+    if values.null_count:
+        flat = np.where(np.asarray(values.is_null()), np.nan, flat)
+    if column.null_count:
+        widths = np.where(np.asarray(column.is_null()), 0, widths)
+    out = []
+    for width in np.unique(widths[widths > 0]):
+        at = np.flatnonzero(widths == width)
+        data = flat[offsets[at][:, None] + np.arange(width)]
+        good = np.isfinite(data).all(axis=1) & (np.abs(data).max(axis=1) > 0)
+        if good.any():
+            out.append((data[good], at[good]))
+    return out
 
 
 def unit(data: np.ndarray) -> np.ndarray:

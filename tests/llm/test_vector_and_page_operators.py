@@ -2,6 +2,7 @@ import base64
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 from hypothesis import given, settings
@@ -46,15 +47,60 @@ def cloud(seed=1, n=400, dims=64):
     return data
 
 
-@pytest.mark.parametrize("block", [4096, 40])
-def test_embedding_dedup(spark, block):
+@pytest.mark.parametrize(("block", "small"), [(4096, 48), (4096, 4), (9, 4)])
+def test_embedding_dedup(spark, block, small):
+    """Whether buckets return their pairs, are settled whole or in blocks."""
     data = cloud()
     ids = list(range(len(data)))
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embdedup.embedding_dedup(frame(spark, zip(ids, data)).withColumn("node", F.lit("x")), block=block).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embdedup.embedding_dedup(frame(spark, zip(ids, data)).withColumn("node", F.lit("x")), block=block, small=small).collect()}
     want = plain_dedup(ids, data)
     assert got == want and sum(v[0] for v in want.values()) > 500
 
 
+def two_lengths(long_share):
+    """Vectors of 64 and of 16 dimensions side by side, most of them of either length, every vector twice."""
+    rng, out = np.random.default_rng(8), []
+    many, few = cloud(3, 120), cloud(4, 40, 16)
+    if not long_share:
+        many, few = cloud(4, 120, 16), cloud(3, 40)
+    for k, v in enumerate(rng.permutation(160)):
+        out.append((k, many[v] if v < 120 else few[v - 120]))
+    return out + [(1000 + i, v) for i, v in out]
+
+
+def by_length(data):
+    return [[(i, v) for i, v in data if len(v) == n] for n in sorted({len(v) for _, v in data})]
+
+
+@pytest.mark.parametrize("long_share", [True, False])
+@pytest.mark.parametrize("parts", [1, 3, 50])
+def test_embedding_dedup_of_two_lengths(spark, long_share, parts):
+    data = two_lengths(long_share)
+    want = {}
+    for own in by_length(data):
+        want |= plain_dedup([i for i, _ in own], [v for _, v in own])
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embdedup.embedding_dedup(frame(spark, data).repartition(parts), small=4).collect()}
+    assert got == want
+
+
+def test_crowded_buckets_return_no_pairs(spark):
+    """A group's rows come back as counts and a forest, not as its pairs, whatever its size."""
+    rng = np.random.default_rng(9)
+    data = vectors.unit(rng.standard_normal(64) + 0.01 * rng.standard_normal((300, 64)))
+    got = embdedup.embedding_dedup(frame(spark, enumerate(data))).collect()
+    assert {(r["n_links"], r["component_id"]) for r in got} == {(299, 0)}
+    turn = embdedup._turn(64)
+    r = data @ turn
+    code, factor = vectors.pack_bits(r > 0), np.abs(r).sum(axis=1) / 16
+    masks, zeros = embdedup._band_masks(8, 1), np.zeros(300, np.int32)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(zeros.astype(np.int64)), pa.array(zeros.astype(np.int64)), pa.array(zeros), pa.array(zeros), pa.array(zeros), pa.array(np.arange(300)), pa.array([c.tobytes() for c in code]), pa.array([u.tobytes() for u in data]), pa.array(factor), pa.array(np.ones(300, np.int64))],
+        names=list("abcdefghij"),
+    )
+    out = [row for b in embdedup._settle(masks, 0.95)([batch]) for row in b.to_pylist()]
+    assert len(out) == 300 + 299 and sum(row["others"] for row in out) == 300 * 299
+
+
 def test_embedding_dedup_odd_rows(spark):
     v = [1.0, 2.0, 3.0, -4.0]
     data = [(0, v), (1, [2 * x for x in v]), (2, v), (2, v), (3, None), (4, [0.0] * 4), (5, [None, 1.0, 1.0, 1.0]), (6, [float("nan"), 1.0, 1.0, 1.0]), (7, [float("inf")] * 4), (None, v), (8, []), (9, [1.0, 0.0, 0.0, 0.0])]
@@ -140,6 +186,30 @@ def test_search_ties_and_odd_rows(spark):
     assert twice == [(0, 1, 1), (0, 2, 2)]
 
 
+@pytest.mark.parametrize("parts", [1, 3, 50])
+def test_search_of_rows_six_times_over(spark, parts):
+    data = np.random.default_rng(6).standard_normal((160, 64))
+    ids = list(range(160))
+    df = frame(spark, [(i, data[i]) for i in ids] * 6).repartition(parts)
+    got = {}
+    for r in ann.search(df, radius=1.0, block=100).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: [v for v, _ in found] for q, found in plain_nearest(ids, data).items()}
+
+
+@pytest.mark.parametrize("long_share", [True, False])
+@pytest.mark.parametrize("parts", [1, 3, 50])
+def test_search_of_two_lengths(spark, long_share, parts):
+    data = two_lengths(long_share)
+    want = {}
+    for own in by_length(data):
+        want |= plain_nearest([i for i, _ in own], [v for _, v in own], every=20)
+    got = {}
+    for r in ann.search(frame(spark, data).repartition(parts), every=20, radius=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: [v for v, _ in found] for q, found in want.items()} and len(want) == 16
+
+
 def test_search_repeated_rows_take_one_place(spark):
     v = [1.0, 1.0, 0.0]
     data = [(0, v)] + [(i, [1.0, 1.0, 0.01 * i]) for i in (1, 2)] * 3 + [(i, [1.0, 1.0, 0.1 * i]) for i in range(3, 9)]
