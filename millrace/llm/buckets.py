@@ -16,10 +16,23 @@ KEYS = ("band", "key", "one", "two")
 _GIVEN = 5
 
 
+#: Rows of an index that one task makes, about.
+MADE = 500_000
+
+
+def spread(nodes: DataFrame, rows: int) -> DataFrame:
+    """Deal nodes to as many tasks as ``rows`` rows of their index want; by bytes alone few would make them all."""
+    return nodes.repartition(max(nodes.sparkSession.sparkContext.defaultParallelism, rows // MADE), "node")
+
+
 def crowded(index: DataFrame, least: int, block: int) -> DataFrame:
-    """``(band, key, blocks)`` of the buckets of more than ``least`` rows."""
+    """``(band, key, blocks)`` of the buckets of more than ``least`` rows.
+
+    The number of blocks is the root of the number of blocks of ``block`` rows: both the tasks
+    that settle a bucket and what one of them reads grow with it, and its rows are copied less.
+    """
     sizes = index.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
-    return cut(sizes.select("band", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    return cut(sizes.select("band", "key", F.ceil(F.sqrt(F.col("n") / block)).cast("int").alias("blocks")))
 
 
 def deal(index: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -93,6 +106,14 @@ def neighbours(columns: list[np.ndarray], most: int) -> Iterator[tuple[np.ndarra
         yield left, left + step
 
 
+def first_met(x: np.ndarray, band: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Whether codes with these exclusive-ors share no band before this one."""
+    fresh = np.ones(len(x), bool)
+    for j in range(int(band.max(initial=0))):
+        fresh &= (band <= j) | ((x & masks[j]) != 0).any(axis=1)
+    return fresh
+
+
 def sides(columns: list[np.ndarray], start: int, stop: int) -> Iterator[tuple[int, np.ndarray]]:
     """A row of a crowded bucket at a time, with the rows that it is to meet there."""
     rows = np.arange(start, stop)

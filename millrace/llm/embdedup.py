@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..session import cut
-from .buckets import Groups, bounds, crowded, deal, gather, neighbours, numbers, sides, stretches, words
+from .buckets import Groups, bounds, crowded, deal, first_met, gather, neighbours, numbers, sides, spread, stretches, words
 from .vectors import matrices, pack_bits, rotation, unit
 
 COSINE = 0.95
@@ -23,8 +23,8 @@ SEED = 20240607
 #: A pair exactly at the threshold meets in no band with this probability at most, if its differing
 #: bits are binomial; closer pairs with far less.
 MISSED = 1e-6
-#: Rows of a bucket's block; the blocks of a larger bucket meet in pairs, each pair in a task of its own.
-BLOCK = 4096
+#: Rows of a bucket that meet in one task; a larger one is cut in blocks that meet in pairs, a task each.
+BLOCK = 256
 
 
 def missed(bits: int, bands: int, cosine: float = COSINE) -> float:
@@ -130,22 +130,16 @@ def _pairs(masks: np.ndarray, cosine: float):
     """
     most = _furthest(cosine)
 
-    def first(x: np.ndarray, band: np.ndarray) -> np.ndarray:
-        fresh = np.ones(len(x), bool)
-        for j in range(int(band.max(initial=0))):
-            fresh &= (band <= j) | ((x & masks[j]) != 0).any(axis=1)
-        return fresh
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in stretches(batches, (numbers, words)):
-            band, node, code = columns[0] % _BANDS, columns[5], columns[6]
+            band, node, code, found = columns[0] % _BANDS, columns[5], columns[6], []
             for left, right in neighbours(columns, SMALL + 1):
-                x = code[left] ^ code[right]
-                hit = np.flatnonzero(np.bitwise_count(x).sum(axis=1) <= most)
-                hit = hit[first(x[hit], band[left[hit]])]
-                if len(hit):
-                    a, b = node[left[hit]], node[right[hit]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                hit = np.bitwise_count(code[left] ^ code[right]).sum(axis=1) <= most
+                found.append((left[hit], right[hit]))
+            left, right = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+            fresh = first_met(code[left] ^ code[right], band[left], masks)
+            a, b = node[left[fresh]], node[right[fresh]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
 
@@ -255,8 +249,8 @@ def embedding_components(df: DataFrame, vec_id: str = "vec_id", embedding: str =
         coded.groupBy("unit").agg(F.first("dims").alias("dims"), F.first("code").alias("code"), F.first("factor").alias("factor"), F.count(F.lit(1)).alias("rows"), F.min("vec_id").alias("least"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    masks = _band_masks(*plan_bands(nodes.count(), cosine))
-    index = nodes.select("node", "code", "dims").mapInArrow(_index(masks), "band long, key long, node long, code binary")
+    masks = _band_masks(*plan_bands(count := nodes.count(), cosine))
+    index = spread(nodes.select("node", "code", "dims"), count * len(masks)).mapInArrow(_index(masks), "band long, key long, node long, code binary")
     hot = crowded(index, small, block)
     cold, warm = deal(index, hot)
     open_ = gather(cold, "node", "code").mapInArrow(_pairs(masks, cosine), "a long, b long")

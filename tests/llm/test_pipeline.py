@@ -7,7 +7,8 @@ from collections import defaultdict
 import duckdb
 import pytest
 from conftest import ROOT  # noqa: F401
-from test_text_operators import plain_components, plain_fingerprint, plain_lines, plain_targets
+from test_shingles import odd_ones, plain_near
+from test_text_operators import plain_components, plain_lines, plain_targets
 
 import corpus_pipeline as pipeline
 from millrace.llm.queries import ORACLE_SQL, QUERIES
@@ -43,10 +44,10 @@ def test_line_stage(staged):
 
 
 def test_simhash_stage(staged):
+    """One document of each group of five-word similarity 0.8, as the job sets it for stages on word shingles."""
     before, after = staged[2], staged[3]
-    prints = {d["doc_id"]: plain_fingerprint(d["text"]) for d in before}
-    pairs = [(i, j) for i in prints for j in prints if i < j and (prints[i] ^ prints[j]).bit_count() <= 3]
-    lowest = set(plain_components(pairs, prints).values())
+    texts = {d["doc_id"]: d["text"] for d in before}
+    lowest = set(plain_components([*plain_near(texts), *odd_ones(texts)], texts).values())
     assert sorted(after, key=repr) == sorted((d for d in before if d["doc_id"] in lowest), key=repr) and len(after) < len(before)
 
 
@@ -78,10 +79,23 @@ def test_run_is_the_stages(spark, staged):
 
 
 def test_stages_take_odd_rows(spark):
-    odd = spark.createDataFrame([(1, None, None, None, None, "x"), (None, "some text", None, None, None, "x"), (1, "", "en", "a", 0, "x"), (2, "w " * 1000, "en", "a", 2000, "x")], "doc_id long, text string, lang string, source string, n_chars long, score string")
-    for docs in (odd, odd.limit(0)):
-        for _, stage in pipeline.STAGES:
-            assert stage(spark, docs, SF).count() >= 0
+    """Null and empty texts, null ids, repeated rows, a very long text and a clashing column; then no rows at all."""
+    long = "w " * 50_000
+    data = [(1, None, None, None, None, "x"), (None, "some text", None, None, None, "x"), (1, "", "en", "a", 0, "x"), (2, long, "en", "a", 100_000, "x"), (2, long, "en", "a", 100_000, "x"), (4, "some text", "en", "b", 9, "x")]
+    odd = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, score string")
+    stages = dict(pipeline.STAGES)
+    got = lambda name, docs: sorted(((r["doc_id"], r["text"]) for r in stages[name](spark, docs, SF).collect()), key=repr)
+    want = sorted(((d[0], d[1]) for d in data), key=repr)
+    kept = got("quality", odd)
+    assert set(kept) <= set(want) and all(kept.count(d) == want.count(d) for d in kept)
+    assert got("lines", odd) == sorted(((i, t or "") for i, t in want), key=repr)
+    # Rows of one id stay together: 1 holds both empty texts, and the null id goes for document 4.
+    assert got("simhash", odd) == sorted([(1, None), (1, ""), (2, long), (2, long), (4, "some text")], key=repr)
+    assert set(got("mix", odd)) <= set(want)
+    encoded = stages["encode"](spark, odd, SF).collect()
+    assert len(encoded) == len(data) and sorted(r["n_tokens"] > 0 for r in encoded) == [False, False, True, True, True, True]
+    for name in stages:
+        assert stages[name](spark, odd.limit(0), SF).count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))

@@ -47,7 +47,7 @@ def cloud(seed=1, n=400, dims=64):
     return data
 
 
-@pytest.mark.parametrize(("block", "small"), [(4096, 48), (4096, 4), (9, 4)])
+@pytest.mark.parametrize(("block", "small"), [(4096, 48), (4096, 4), (2, 4)])
 def test_embedding_dedup(spark, block, small):
     """Whether buckets return their pairs, are settled whole or in blocks."""
     data = cloud()
