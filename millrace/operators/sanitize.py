@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.package import APP, CP, DC, REL, TYPES, W
+from ..sources.package import APP, CP, DC, REL, TYPES, W, parse
 
 # The categories of either format.
 WORD_CATEGORIES = ("metadata", "comments", "revisions", "hidden-text", "custom-xml", "external-rels", "macros", "embedded-objects")
@@ -76,17 +76,21 @@ def settle_changes(root: ET.Element, accept: bool = True) -> tuple[int, int]:
     _drop(root, lambda e: e.tag in CHANGES)
     return insertions, deletions
 
-def edit_part(name: str, data: bytes, categories: frozenset, slides: bool, gone: frozenset, accept: bool = True) -> tuple[bytes, list[str]]:
-    """A part without what the categories name, and what was taken. Parts that are not XML come back as they are."""
-    if not re.search(r"\.(xml|rels)$", name, re.IGNORECASE) or b"<!DOCTYPE" in data[:4096]:
+def edit_part(name: str, data: bytes, categories: frozenset, slides: bool, gone: frozenset, accept: bool = True) -> tuple[bytes | None, list[str]]:
+    """A part without what the categories name, and what was taken. Parts that are not XML by name come back as they are.
+
+    An XML part that cannot be read, or has a document type, may hide what was to be taken:
+    it is dropped and reported, if anything was to be taken.
+    """
+    if not categories or not re.search(r"\.(xml|rels)$", name, re.IGNORECASE):
         return data, []
     try:
-        root = ET.fromstring(data)
-    except ET.ParseError:
-        return data, []
-    for prefix, uri in re.findall(rb'xmlns:([A-Za-z][\w.-]*)="([^"]+)"', data[:8192]):
-        if not re.fullmatch(rb"ns\d+", prefix):
-            ET.register_namespace(prefix.decode(), uri.decode())
+        root, spaces = parse(data)
+    except ET.ParseError as problem:
+        return None, [f"unreadable: {problem}"]
+    for prefix, uri in spaces.items():
+        if not re.fullmatch(r"(ns\d+|xml)?", prefix):
+            ET.register_namespace(prefix, uri)
     report: list[str] = []
     if "metadata" in categories and name in ("docProps/core.xml", "docProps/app.xml"):
         fields = (SLIDE_CORE if slides else WORD_CORE) if name.endswith("core.xml") else (SLIDE_APP if slides else WORD_APP)
@@ -142,7 +146,7 @@ def _target(source: str, target: str) -> str | None:
 def sanitize(contents: DataFrame, categories: list[str], slides: bool = False, accept: bool = True) -> DataFrame:
     """``(path, name, content, category, report)``: parts with their category null stay, edited; others are gone (content null).
 
-    Parts to go are told by name in the JVM; only XML that stays is edited in Python.
+    XML parts that cannot be read are gone too, as category ``unreadable``. Parts to go are told by name in the JVM; only XML that stays is edited in Python.
     """
     if bad := unknown_categories(categories, SLIDE_CATEGORIES if slides else WORD_CATEGORIES):
         raise ValueError(f"unknown categories: {', '.join(bad)}")
@@ -157,7 +161,9 @@ def sanitize(contents: DataFrame, categories: list[str], slides: bool = False, a
         out = [edit_part(n, d, own, slides, frozenset(g if g is not None else ()), accept) for n, d, g in zip(names, data, lost)]
         return pd.DataFrame(out, columns=["content", "report"])
 
-    kept = rows.where("category is null").withColumn("_e", edit("name", "content", "gone")).select("path", "name", "_e.content", "category", "_e.report")
+    kept = rows.where("category is null").withColumn("_e", edit("name", "content", "gone")).select(
+        "path", "name", "_e.content", F.when(F.get("_e.report", F.lit(0)).startswith("unreadable: "), "unreadable").alias("category"), "_e.report"
+    )
     left = rows.where("category is not null").select("path", "name", F.lit(None).cast("binary").alias("content"), "category", F.array(F.concat("category", F.lit(": "), "name")).alias("report"))
     return kept.unionByName(left)
 

@@ -24,6 +24,7 @@ def session(app: str = "millrace", master: str | None = None, **conf: str) -> Sp
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
     }
     for key, value in {**settings, **conf}.items():
@@ -48,7 +49,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder; later reads survive the loss of any executor."""
+    """Materialise in the shared folder; later reads survive the loss of any executor.
+
+    A cut that nothing refers to any more is removed by Spark's cleaner where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on, as ``session`` sets it;
+    what is left at the end of an application lies in one folder of its own.
+    """
     context = df.sparkSession.sparkContext
     where = shared_dir(df.sparkSession)
     if context.getCheckpointDir() is None:
@@ -67,11 +73,10 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "left", rows: in
     return big.join(small, on, how)
 
 
-def text_batches(spark: SparkSession, records: int = 512) -> None:
-    """Keep Arrow batches of whole texts small; an explicit smaller setting wins."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > records:
-        spark.conf.set(key, str(records))
+def remove(spark: SparkSession, where: str) -> None:
+    """Remove a file or folder by the file system that Spark knows it by."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:

@@ -8,6 +8,7 @@ import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,15 +77,8 @@ def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
 
 
-def _small_batches(df: DataFrame) -> None:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(key, "10000")) > 512:
-        df.sparkSession.conf.set(key, "512")
-
-
 def members(files: DataFrame) -> DataFrame:
     """One row per archive member, with both sizes; one row with an error for an unreadable file. Nothing is inflated."""
-    _small_batches(files)
     return files.select("path", "content").mapInArrow(_members, MEMBER)
 
 
@@ -177,15 +171,33 @@ def parts(files: DataFrame, report: DataFrame | None = None, endings: list[str]
     """Member contents of the files that pass the gate. Names are filtered before anything is inflated."""
     if report is not None:
         files = files.join(report.where("ok").select("path"), "path", "left_semi")
-    _small_batches(files)
     wanted = F.lit(None).cast("array<string>") if endings is None else F.array(*[F.lit(e) for e in endings])
     return files.select("path", "content", wanted.alias("wanted")).mapInArrow(_parts, PART)
 
 
-def _walk(path: str, part: str, data: bytes) -> Iterator[tuple]:
-    if b"<!DOCTYPE" in data[:4096] or b"<!ENTITY" in data[:4096]:
+def parse(data: bytes) -> tuple[ET.Element, dict[str, str]]:
+    """The root of a part and the namespaces of all its prefixes; a part with a document type is refused.
+
+    The parser itself reports declarations, so it does not matter where they stand, what
+    encoding the part has or what comments say.
+    """
+    spaces: dict[str, str] = {}
+
+    def refuse(*_) -> None:
         raise ET.ParseError("document type declarations are not allowed")
-    stack: list[tuple] = [(ET.fromstring(data), -1, [], [])]
+
+    reader = expat.ParserCreate(namespace_separator="}")
+    reader.StartDoctypeDeclHandler = reader.EntityDeclHandler = refuse
+    reader.StartNamespaceDeclHandler = lambda prefix, uri: spaces.setdefault(prefix or "", uri or "")
+    try:
+        reader.Parse(data, True)
+    except expat.ExpatError as problem:
+        raise ET.ParseError(str(problem)) from problem
+    return ET.fromstring(data), spaces
+
+
+def _walk(path: str, part: str, data: bytes) -> Iterator[tuple]:
+    stack: list[tuple] = [(parse(data)[0], -1, [], [])]
     number = 0
     while stack:
         node, parent, tags, ords = stack.pop()

@@ -207,3 +207,27 @@ def test_id_repair(spark):
     body = "<w:bookmarkStart w:id='1'/><w:bookmarkStart w:id='-3'/><w:bookmarkStart w:id='x'/><w:bookmarkStart w:id='2'/>"
     _, _, _, contents, nodes = tables(spark, a=P.pack(P.word(body)))
     assert rows(sanitize.repair_ids(contents, nodes), "old_id", "new_id") == [("-3", 3), ("x", 4)]
+
+
+def test_document_types_are_refused_wherever_they_stand(spark):
+    import xml.etree.ElementTree as ET
+
+    from millrace.operators.sanitize import edit_part
+
+    late = b"<!--" + b"x" * 20_000 + b"-->"
+    entity = late + b'<!DOCTYPE r [<!ENTITY e "boom">]><r>&e;</r>'
+    for data in (entity, "<?xml version='1.0' encoding='utf-16'?>".encode("utf-16") + '<!DOCTYPE r [<!ENTITY e "boom">]><r>&e;</r>'.encode("utf-16-le")):
+        with pytest.raises(ET.ParseError):
+            package.parse(data)
+    harmless = b"<r><!-- <!DOCTYPE r> --></r>"
+    assert package.parse(harmless)[0].tag == "r"
+    core = P.CORE.replace("<dc:creator>", late.decode() + "<!-- <!DOCTYPE x> --><dc:creator>").encode()
+    clean, report = edit_part("docProps/core.xml", core, frozenset(["metadata"]), False, frozenset())
+    assert b"Ann" not in clean and report == ["metadata: creator"]
+    # What cannot be read is dropped and named, not passed on; without a request nothing is touched.
+    for data in (entity, b"<r>"):
+        content, report = edit_part("docProps/core.xml", data, frozenset(["metadata"]), False, frozenset())
+        assert content is None and report[0].startswith("unreadable: ")
+        assert edit_part("docProps/core.xml", data, frozenset(), False, frozenset()) == (data, [])
+    far = b"<r>" + late + b'<q:a xmlns:q="urn:q"/></r>'
+    assert b"<q:a" in edit_part("x.xml", far, frozenset(["metadata"]), False, frozenset())[0]
