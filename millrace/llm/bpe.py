@@ -17,7 +17,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import text_batches
 
 #: Pieces of a generation whose ids a worker remembers; two generations are held.
 REMEMBERED = 300_000
@@ -154,7 +153,6 @@ def coder(path: str, pattern: str) -> Coder:
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", offsets: bool = False) -> DataFrame:
     """Add ``ids array<int>`` (and ``offsets``): no special tokens, none for null and empty texts."""
-    text_batches(df.sparkSession, 256)
     kind = "ids array<int>" + (", offsets array<struct<start:int,end:int>>" if offsets else "")
 
     @F.pandas_udf(kind)
@@ -188,7 +186,6 @@ def token_digests(df: DataFrame, path: str, pattern: str, text: str = "text") ->
     Each row stands alone: repeated rows repeat, an empty table stays empty, other
     columns pass through.
     """
-    text_batches(df.sparkSession, 256)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def run(texts: pd.Series) -> pd.DataFrame:

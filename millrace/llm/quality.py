@@ -12,7 +12,6 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import text_batches
 
 THRESHOLD = 0.3
 #: Texts are compressed in pieces of this many bytes, so that the dictionary weighs on all of a text.
@@ -137,7 +136,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, points: i
 def with_score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Add the score, 0 to 1; empty and null texts get the score of a text of no length."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    text_batches(df.sparkSession)
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:

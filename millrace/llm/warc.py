@@ -13,10 +13,10 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, join_small, shared_dir, text_batches
+from ..session import cut, join_small, remove, shared_dir
 
-#: Code points of a payload in one row on the way out, and bytes in one row on the way in.
-POINTS, BYTES = 1 << 20, 1 << 20
+#: Bytes of a payload in one row, on the way out and on the way in.
+BYTES = 1 << 20
 #: Archives are begun anew past this many bytes.
 ARCHIVE = 1 << 30
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -77,6 +77,36 @@ def roles(pages: DataFrame, least: int = 0) -> DataFrame:
     return known.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("newest")), F.col("newest"))).drop("newest")
 
 
+def _chunks(most: int):
+    """Rows of at most ``most`` bytes of payload, in order, each payload read once; revisits carry none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            payload, of, number, count, parts, size = batch.column(5).cast(pa.binary()), [], [], [], [], 0
+
+            def out():
+                rows = batch.select(range(5)).take(pa.array(of, pa.int64()))  # noqa: B023
+                return pa.RecordBatch.from_arrays([*rows.columns, pa.array(number, pa.int32()), pa.array(count, pa.int32()), pa.array(parts, pa.binary())], names=[*rows.schema.names, "chunk", "chunks", "data"])  # noqa: B023
+
+            for i in range(batch.num_rows):
+                data = memoryview(b"") if batch.column(4)[i].is_valid else memoryview(payload[i].as_buffer())
+                total = max(1, -(-data.nbytes // most))
+                for n in range(total):
+                    part = bytes(data[n * most : (n + 1) * most])
+                    of.append(i)
+                    number.append(n)
+                    count.append(total)
+                    parts.append(part)
+                    size += len(part)
+                    if size >= 8 * most:
+                        yield out()
+                        of, number, count, parts, size = [], [], [], [], 0
+            if of:
+                yield out()
+
+    return run
+
+
 def _write(where: str, most: int):
     """Write the rows of a task, in order, as gzip members; report each archive that was closed."""
 
@@ -108,7 +138,7 @@ def _write(where: str, most: int):
                     packer, digest, written = zlib.compressobj(1, zlib.DEFLATED, 31), hashlib.sha1(), 0
                     put(packer.compress(_header(path.rpartition("/")[2], number, row) + HTTP))
                 if row["refers_to"] is None:
-                    data = row["data"].encode()
+                    data = row["data"]
                     digest.update(data)
                     written += len(data)
                     put(packer.compress(data))
@@ -123,21 +153,16 @@ def _write(where: str, most: int):
     return run
 
 
-def write_archives(pages: DataFrame, where: str, least: int = 0, points: int = POINTS, most: int = ARCHIVE) -> DataFrame:
+def write_archives(pages: DataFrame, where: str, least: int = 0, chunk: int = BYTES, most: int = ARCHIVE) -> DataFrame:
     """Write a record per row under the shared folder ``where``; ``(archive, records, bytes)`` of what was closed.
 
-    Payloads go out as rows of ``points`` code points, so no task holds a whole
+    Payloads go out as rows of ``chunk`` bytes, so no task holds a whole
     oversized payload beside the row it came in. The list is materialised: archives
     of failed attempts are not in it.
     """
-    text_batches(pages.sparkSession, 128)
-    known = roles(pages, least)
-    chunks = F.greatest(F.ceil(F.length("html") / F.lit(points)), F.lit(1)).cast("int")
-    parts = F.when(F.col("refers_to").isNotNull(), F.lit(1)).otherwise(chunks)
-    rows = known.withColumn("chunks", parts).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    whole = F.when(F.col("chunks") == 1, F.col("html")).otherwise(F.substring("html", F.col("chunk") * points + 1, F.lit(points)))
-    data = F.when(F.col("refers_to").isNull(), whole).otherwise(F.lit(""))
-    rows = rows.select("page_id", "url", "sha", "n", "refers_to", "chunk", "chunks", data.alias("data"))
+    rows = roles(pages, least).select("page_id", "url", "sha", "n", "refers_to", "html")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:5])
+    rows = rows.mapInArrow(_chunks(chunk), f"{kinds}, chunk int, chunks int, data binary")
     return cut(rows.mapInArrow(_write(where, most), "archive string, records long, bytes long"))
 
 
@@ -257,28 +282,31 @@ def read_archives(archives: DataFrame, block: int = BYTES, with_data: bool = Tru
 
     A record has one row per ``block`` bytes of payload (one without data if empty);
     its last row carries the payload's size and digest, which is checked as it is
-    read. Without data only those last rows are returned.
+    read. Without data only those last rows are returned. The paths are counted and
+    dealt by range to as many tasks: by their few bytes they would all meet in one.
     """
-    return archives.select("archive").repartition("archive").mapInArrow(_read(block, with_data), CHUNKS)
+    paths = archives.select("archive")
+    return paths.repartitionByRange(max(1, paths.count()), "archive").mapInArrow(_read(block, with_data), CHUNKS)
 
 
-def round_trip(pages: DataFrame, least: int = 0, points: int = POINTS, block: int = BYTES) -> DataFrame:
+def round_trip(pages: DataFrame, least: int = 0, chunk: int = BYTES, block: int = BYTES) -> DataFrame:
     """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` as read back.
 
     Of records with equal payloads of at least ``least`` bytes, the one with the largest
     page_id is the response (all its rows, if it is repeated) and the others revisit it;
-    smaller ones are all responses. A null html is an empty payload, a null url unknown.
+    smaller ones are all responses. A null html is an empty payload, a null url unknown; a very long
+    html streams in chunks.
     Where every holder of a payload has a null page_id, all are responses; a null
     page_id beside a known one revisits that. An empty table gives an empty result;
     other columns are ignored. The archives are removed once they have been read.
     """
     spark = pages.sparkSession
     where = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    written = write_archives(pages.select("page_id", "url", "html"), where, least, points)
+    written = write_archives(pages.select("page_id", "url", "html"), where, least, chunk)
     prefix = where[: where.index("://") + 3] if "://" in where else ""
     named = written.select(F.concat(F.lit(_prefix(where)), "archive").alias("archive")) if prefix else written
     back = cut(read_archives(named, block, with_data=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
-    _remove(spark, where)
+    remove(spark, where)
     return back
 
 
@@ -288,12 +316,6 @@ def _prefix(where: str) -> str:
     return where[: len(where) - len(path)] if where.endswith(path) else where.partition("://")[0] + "://"
 
 
-def _remove(spark: SparkSession, where: str) -> None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def archive_sql(pages: str = "pages") -> str:
     """DuckDB SQL of the op8 query; base32 is spelt out, four letters from five hexadecimal digits."""
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"

@@ -289,7 +289,7 @@ PAGES = [(1, "http://a/", "same"), (2, "http://b/", "same"), (3, None, None), (4
 def test_round_trip(spark):
     df = spark.createDataFrame([(*p, "x") for p in PAGES], "page_id long, url string, html string, sha string")
     for points, block in ((1 << 20, 1 << 20), (7, 5)):
-        got = {r["page_id"]: r for r in warc.round_trip(df, points=points, block=block).collect()}
+        got = {r["page_id"]: r for r in warc.round_trip(df, chunk=points, block=block).collect()}
         for i, _, html in PAGES:
             assert got[i]["payload_bytes"] == len((html or "").encode()) and got[i]["payload_digest"] == digest(html)
         assert {i: r["refers_to"] for i, r in got.items() if r["record_type"] == "revisit"} == {1: 6, 2: 6, 3: 4}
@@ -307,7 +307,7 @@ def test_chunks_and_real_archives(spark, tmp_path):
 
     where = f"file://{tmp_path}/w"
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1)
-    files = warc.write_archives(df, where, points=500, most=300).collect()
+    files = warc.write_archives(df, where, chunk=500, most=300).collect()
     assert len(files) > 1 and sum(f["records"] for f in files) == len(PAGES)
     raw = b"".join(gzip.decompress(open(f["archive"], "rb").read()) for f in files)
     assert raw.count(b"WARC/1.1\r\nWARC-Type: ") == len(PAGES)
