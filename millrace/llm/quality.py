@@ -12,14 +12,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 
 THRESHOLD = 0.3
 #: Texts are compressed in pieces of this many bytes, so that the dictionary weighs on all of a text.
 PIECE = 8192
 #: Size of a dictionary, and the level that both are used at.
 DICTIONARY, LEVEL = 112_640, 3
-#: The bounded training sample: labelled documents of each class, smallest hashes first,
-#: and the code points taken of each, from a window placed by its hash.
+#: The bounded training sample: labelled documents of each class, smallest hashes first. Half of them build
+#: its dictionary: whole texts of at most so many code points. The others, of any length, calibrate.
 SAMPLE_DOCS, SAMPLE_POINTS = 3000, 8192
 #: Bytes that a text counts as longer, and the power of its length that a difference is divided by.
 SHORT, POWER = 100, 0.7
@@ -45,7 +46,8 @@ def features(text: str | None, compressors) -> tuple[float, float, float]:
     """The normalised difference of the sizes under the two dictionaries, the size per byte, and how short the text is.
 
     The difference of a text of one kind grows with its length n, its noise with the root of n: it is
-    divided by ``(n + SHORT) ** POWER``. Of the whole text, a piece at a time; (0, 0, 1) if it is empty.
+    divided by ``(n + SHORT) ** POWER``. What a difference says depends on how far the text compresses at
+    all and on how much of it there is, so the calibration is told both. Of the whole text, a piece at a time; (0, 0, 1) if it is empty.
     """
     data = memoryview((text or "").encode())
     good, bad = (sum(len(c.compress(data[i : i + PIECE])) for i in range(0, data.nbytes, PIECE)) for c in compressors)
@@ -70,18 +72,18 @@ def _dictionary(texts: list[str]) -> bytes:
                 return zstandard.train_dictionary(size, pieces).as_bytes()
             except zstandard.ZstdError:
                 continue
-    return b"".join(pieces)[-DICTIONARY:]  # too little to train on: the text itself
+    return b"".join(pieces)  # too little to train on: the texts themselves
 
 
 def _own_lines(texts: dict[int, list[str]]) -> dict[int, list[str]]:
-    """Every other text, each once, without lines that two texts of the sample hold, whatever their class.
+    """The texts, each once, without lines that two of them hold, whatever their class.
 
     Boilerplate tells nothing about quality, and a dictionary that holds a common line makes
     any short text with it look like its class. Copies count as one text.
     """
     holders = Counter(line for t in {*texts[0], *texts[1]} for line in {*t.split("\n")})
-    kept = {label: ["\n".join(x for x in t.split("\n") if holders[x] == 1) for t in dict.fromkeys(own[::2])] for label, own in texts.items()}
-    return {label: own if any(own) else texts[label][::2] for label, own in kept.items()}
+    kept = {label: ["\n".join(x for x in t.split("\n") if holders[x] == 1) for t in dict.fromkeys(own)] for label, own in texts.items()}
+    return {label: own if any(own) else texts[label] for label, own in kept.items()}
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, ...]:
@@ -98,41 +100,65 @@ def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float
     return tuple(float(v) for v in w)
 
 
+def _known(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(doc_id, h, length, quality)`` of the labelled documents that have a text.
+
+    Labels that contradict each other say nothing. Of rows that share an id, the text of the smallest hash counts.
+    """
+    marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
+    marked = marked.where("quality = most").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    rows = docs.where("length(text) > 0").select("doc_id", F.struct(F.xxhash64("text").alias("h"), F.length("text").alias("length")).alias("t")).join(marked, "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("t").alias("t"), F.first("quality").alias("quality")).select("doc_id", "t.*", "quality")
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, points: int = SAMPLE_POINTS) -> Model:
     """Fit on the texts of ``labels`` (doc_id, quality 0 or 1).
 
-    The sample is drawn from the labels alone, ``sample`` of each class by the hash of
-    the id, so one scan of the texts finds it and at most ``2 * sample * points`` code
-    points reach the driver. Half of a class builds its dictionary, the other half
-    calibrates. Without both classes there is nothing to learn: every text then scores
+    The sample is drawn from the labelled documents that have a text: of each class, and of
+    each half of the ids by their hash, the ``sample / 2`` of the smallest hashes. One half builds the class's
+    dictionary, from whole texts of at most ``points`` code points, so at most ``sample * points`` code
+    points reach the driver; the other half calibrates, whole texts of any length being compressed where
+    they lie. If a class lacks texts in either half there is nothing to learn: every text then scores
     the share of good labels (0.5 without labels).
     """
-    marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    counts = {r["quality"]: r["count"] for r in marked.groupBy("quality").count().collect()}
+    known = cut(_known(docs, labels))
+    counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     order = [F.xxhash64("doc_id"), "doc_id"]
-    drawn = [r for label in (0, 1) for r in marked.where(F.col("quality") == label).orderBy(*order).limit(sample).collect()]
-    texts: dict[int, list[str]] = {0: [], 1: []}
-    if drawn:
-        ids = docs.sparkSession.createDataFrame(drawn, marked.schema).dropDuplicates(["doc_id"])
-        start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - points, F.lit(0)) + 1).cast("int") + 1
-        found = docs.select("doc_id", "text").where("length(text) > 0").join(F.broadcast(ids), "doc_id")
-        for r in sorted(found.select("quality", F.xxhash64("doc_id", "text").alias("h"), F.substring("text", start, F.lit(points)).alias("t")).collect()):
-            texts[r["quality"]].append(r["t"])
-    if min(len(texts[0]), len(texts[1])) < 4:
+    build = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    drawn = lambda half: [r for label in (0, 1) for r in known.where((F.col("quality") == label) & half).orderBy(*order).limit(sample // 2).collect()]
+    halves = [drawn(build & (F.col("length") <= points)), drawn(~build)]
+
+    def texts_of(rows: list) -> DataFrame:
+        ids = docs.sparkSession.createDataFrame(rows, known.schema)
+        return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(ids), ["doc_id", "h"])
+
+    if min(sum(r["quality"] == label for r in half) for half in halves for label in (0, 1)) == 0:
         share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
         share = min(max(share, 0.01), 0.99)
         return Model(b"", b"", (0.0, 0.0, 0.0, math.log(share / (1 - share))))
-    built = _own_lines(texts)
+    found = {r["doc_id"]: r["text"] for r in texts_of(halves[0]).select("doc_id", "text").collect()}
+    built = _own_lines({label: [found[r["doc_id"]] for r in halves[0] if r["quality"] == label] for label in (0, 1)})
     model = Model(_dictionary(built[1]), _dictionary(built[0]), ())
-    compressors = model.compressors()
-    held = [(features(t, compressors), label) for label in (0, 1) for t in texts[label][1::2]]
-    x, y = np.array([f for f, _ in held]), np.array([label for _, label in held], float)
+    measured = with_features(texts_of(halves[1]), model).select("doc_id", "quality", "_mr_x.*").distinct().orderBy("doc_id").collect()
+    x, y = np.array([(r["difference"], r["size"], r["short"]) for r in measured]), np.array([r["quality"] for r in measured], float)
     *weights, constant = _calibrate(x, y)
     # The sample holds as many of both classes; the constant restores their share among the labels.
     constant += math.log(counts[1] / counts[0]) - math.log(y.sum() / (len(y) - y.sum()))
     return Model(model.good, model.bad, (*weights, constant))
 
 
+def with_features(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """Add ``_mr_x``: the features of each text."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("difference double, size double, short double")
+    def measured(texts: pd.Series) -> pd.DataFrame:
+        compressors = shared.value.compressors()
+        return pd.DataFrame([features(t, compressors) for t in texts], columns=["difference", "size", "short"])
+
+    return df.withColumn("_mr_x", measured(F.col(text)))
+
+
 def with_score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Add the score, 0 to 1; empty and null texts get the score of a text of no length."""
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -158,9 +184,10 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame) -> Model:
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs``.
 
-    Scores depend on the text alone. Null and empty texts score alike, repeated rows
+    Scores depend on the text alone, all of it however long. Null and empty texts score alike, repeated rows
     each return a row, a null doc_id is held out of nothing (held_out is false), an
-    empty table gives an empty result, and labels of unknown documents are ignored.
+    empty table gives an empty result; labels of unknown documents and labels that
+    contradict each other are ignored. A score equal to the threshold is accepted.
     """
     scored = with_score(docs.select("doc_id", "text"), fit_on_labels(docs, labels))
     return scored.select(
