@@ -20,13 +20,13 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SIGN = re.compile(r"[0-9@]")
-#: An unseen identifier is one word, of at most this many code points.
-LONGEST_WORD = 64
-#: Words on either side that make up a context.
-CONTEXT = 2
 #: A pattern needs this many different known entities, at this share of all that it meets;
 #: an unseen value needs this score from its patterns.
-SUPPORT, CONFIDENCE, ACCEPT, ROUNDS = 3, 0.8, 0.9, 3
+SUPPORT, CONFIDENCE, ACCEPT = 3, 0.8, 0.9
+#: Rounds go on until one finds nothing new; so many would mean a fault.
+ROUNDS = 1000
+#: Longer words of a pattern are named by a digest of all of them.
+_SPELT = 40
 
 
 def _luhn(digits: str) -> bool:
@@ -87,61 +87,71 @@ def shape(value: str) -> int:
 
 
 _TRIM = ".,;:!?\"'<>[]{}|*#"
+_WORD = re.compile(r"\n|[^\s]+")
+_RUNS = ((re.compile(r"[0-9]+"), "0"), (re.compile(r"[^\W\d_]+"), "a"))
 
 
-def _word(word: str) -> str:
-    return word.strip(_TRIM + "()").lower()
+def _mark(value: str) -> str:
+    return hashlib.blake2b(value.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
 
-def _context(text: str, start: int, end: int) -> tuple[str, str]:
-    """Words before and after a span, folded; digits count as 0. At most 200 code points are looked at."""
-    before = text[max(0, start - 200) : start].replace("\n", " \n ").split(" ")
-    after = text[end : end + 200].replace("\n", " \n ").split(" ")
-    fold = lambda w: re.sub(r"[0-9]", "0", w.lower()[:40])
-    left = [fold(w) for w in before if w][-CONTEXT:]
-    right = [fold(w) for w in after if w][:1]
-    return " ".join(left), " ".join(right)
+def _name(word: str) -> str:
+    """A word of a pattern: folded, without punctuation at its ends, digits as 0."""
+    word = re.sub(r"[0-9]", "0", word.lower().strip(_TRIM + "()") or word[:1])
+    return word if len(word) <= _SPELT else _mark(word)
+
+
+def _form(value: str) -> str:
+    """The character shape of a value: runs of digits and letters as one character each."""
+    for runs, one in _RUNS:
+        value = runs.sub(one, value)
+    return value if len(value) <= _SPELT else _mark(value)
+
+
+def _tokens(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """``(start, end, kind)`` of spans and of the words between them, in order; a line's end is a word, kind is -1 for words."""
+    out, at = [], 0
+    for start, end, kind in [*sorted((s, e, k) for k, s, e in spans), (len(text), len(text), -1)]:
+        if at < start:
+            out += [(m.start(), m.end(), -1) for m in _WORD.finditer(text, at, start)]
+        if kind >= 0:
+            out.append((start, end, kind))
+        at = max(at, end)
+    return out
 
 
 def mentions(text: str | None, spans: list[tuple[int, int, int]]) -> list[tuple]:
-    """``(kind, shape, start, end, value, left, right)`` of the base spans and of other words with a digit or ``@``.
+    """``(kind, shape, start, end, value, left, before, right, form)`` of the base spans and of other words with a digit or ``@``.
 
+    ``left`` is the word before, ``before`` the one before that, ``right`` the word after, whole words of
+    any length; another span counts as a word of its kind. Punctuation around a word is not part of it.
     A value is kept as a digest, so that no personal data is written anywhere.
     """
     text = text or ""
-    out, taken = [], sorted((s, e) for _, s, e in spans)
-    mark = lambda v: hashlib.blake2b(v.encode(), digest_size=8).hexdigest()
-    for kind, s, e in spans:
-        out.append((kind, kind, s, e, mark(text[s:e].lower()), *_context(text, s, e)))
-    at, i = 0, 0
-    while found := _SIGN.search(text, at):
-        start = found.start()
-        while start > at and found.start() - start <= LONGEST_WORD and not text[start - 1].isspace():
-            start -= 1
-        end = found.end()
-        while end < len(text) and not text[end].isspace():
-            if end - start > LONGEST_WORD:
-                gap = re.compile(r"\s").search(text, end)
-                end = gap.start() if gap else len(text)
-                break
-            end += 1
-        at = end
-        if end - start > LONGEST_WORD:
-            continue
-        while end > start and text[end - 1] in _TRIM:
-            end -= 1
-        while start < end and text[start] in _TRIM:
-            start += 1
-        while i < len(taken) and taken[i][1] <= start:
-            i += 1
-        if end - start < 4 or any(s < end and e > start for s, e in taken[max(0, i - 1) : i + 4]):
-            continue
+    if not _SIGN.search(text):
+        return []
+    tokens, out = _tokens(text, spans), []
+
+    def named(i: int) -> str:
+        if not 0 <= i < len(tokens):
+            return ""
+        start, end, kind = tokens[i]
+        return f"<{KINDS[kind]}>" if kind >= 0 else _name(text[start:end])
+
+    for i, (start, end, kind) in enumerate(tokens):
+        if kind < 0:
+            if not _SIGN.search(text, start, end):
+                continue
+            word = text[start:end]
+            start, end = end - len(word.lstrip(_TRIM)), start + len(word.rstrip(_TRIM))
+            if start >= end:
+                continue
         value = text[start:end]
-        out.append((-1, shape(value), start, end, mark(value.lower()), *_context(text, start, end)))
+        out.append((kind, kind if kind >= 0 else shape(value), start, end, _mark(value.lower()), named(i - 1), named(i - 2), named(i + 1), _form(value)))
     return out
 
 
-_MENTION = "kind int, shape int, start int, end int, value string, left string, right string"
+_MENTION = "kind int, shape int, start int, end int, value string, left string, before string, right string, form string"
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -160,12 +170,14 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def _patterns(mention: DataFrame) -> DataFrame:
-    """Lexical patterns of each mention: words before, words around, at two widths."""
-    last = F.element_at(F.split("left", " "), -1)
+    """Lexical patterns of each mention: words before at two widths, the word after, words on both sides, and the word before with the value's shape."""
+    left, right, bar = F.col("left"), F.col("right"), F.lit("|")
     forms = F.array(
-        F.when(F.col("left") != "", F.concat(F.lit("2|"), "left")),
-        F.when(last != "", F.concat(F.lit("1|"), last)),
-        F.when((last != "") & (F.col("right") != ""), F.concat(F.lit("r|"), last, F.lit("|"), "right")),
+        F.when(left != "", F.concat(F.lit("1|"), left)),
+        F.when((left != "") & (F.col("before") != ""), F.concat(F.lit("2|"), F.col("before"), bar, left)),
+        F.when(right != "", F.concat(F.lit("a|"), right)),
+        F.when((left != "") & (right != ""), F.concat(F.lit("b|"), left, bar, right)),
+        F.when(left != "", F.concat(F.lit("f|"), left, bar, F.col("form"))),
     )
     return mention.select("kind", "shape", "value", F.explode(F.array_compact(forms)).alias("pattern")).distinct()
 
@@ -175,16 +187,15 @@ def discover(mention: DataFrame, support: int = SUPPORT, confidence: float = CON
 
     A pattern's score for a kind is the share of its distinct values that are known to
     be of that kind, if ``support`` of them are. A value's score is one minus the
-    product of its patterns' doubts; a value of the kind's form at ``accept`` or more
-    becomes known, and so a seed of the next round.
+    product of its patterns' doubts (no doubt counts as less than 1e-9); a value of the kind's form at ``accept`` or more
+    becomes known, and so a seed of the next round. Rounds end when one finds nothing new.
     """
     graph = cut(_patterns(mention))
-    # Only patterns that enough seeds support, now or later, can ever score.
     known = cut(graph.where("kind >= 0").select("value", "kind").distinct())
-    seeds = known
+    seeds, met = known, cut(graph.groupBy("pattern").agg(F.count_distinct("value").alias("all")))
+    pairs = graph.select("pattern", "value").distinct()
     for _ in range(rounds):
-        met = graph.groupBy("pattern").agg(F.count_distinct("value").alias("all"))
-        own = graph.select("pattern", "value").distinct().join(known, "value").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("own"))
+        own = pairs.join(known, "value").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("own"))
         strong = own.where(F.col("own") >= support).join(met, "pattern").withColumn("score", F.col("own") / F.col("all")).where(F.col("score") >= confidence)
         doubt = F.sum(F.log(F.greatest(F.lit(1) - F.col("score"), F.lit(1e-9))))
         fresh = (
@@ -194,16 +205,17 @@ def discover(mention: DataFrame, support: int = SUPPORT, confidence: float = CON
         )
         fresh = cut(fresh.join(known, ["value", "kind"], "left_anti"))
         if not fresh.limit(1).count():
-            break
+            return known.join(seeds, ["value", "kind"], "left_anti")
         known = cut(known.unionByName(fresh))
-    return known.join(seeds, ["value", "kind"], "left_anti")
+    raise RuntimeError(f"discovery did not settle in {rounds} rounds")
 
 
 def find(docs: DataFrame, **limits) -> DataFrame:
     """``(doc_id, base, spans)``: base spans, and those with the discovered ones, as arrays of structs.
 
-    Null and empty texts have none. Rows stand alone: repeated rows repeat, and copies
-    of a value count once as evidence. An empty table gives an empty result; columns
+    Null and empty texts have none; very long texts and words are read whole. Rows stand alone: repeated rows repeat, and copies
+    of a value count once as evidence. A pattern or value that just reaches a threshold passes it; a value may be
+    found as several kinds, a span each. An empty table gives an empty result; columns
     other than doc_id and text are ignored.
     """
     scanned = cut(scan(docs.select("doc_id", "text")))
