@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import bpe, linededup, mixing, quality, shingles
 from millrace.llm.queries import table, vocabulary
-from millrace.session import shared_dir
+from millrace.session import remove, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -48,12 +48,19 @@ STAGES = [("quality", quality_stage), ("lines", line_stage), ("simhash", simhash
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
+    """All stages over ``documents``, each written as Parquet and read again.
+
+    A stage's table is removed once its successor is written; the last one is the caller's to remove.
+    """
     docs, where = table(spark, sf_dir, "documents"), f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for number, (name, stage) in enumerate(STAGES):
         out = f"{where}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before:
+            remove(spark, before)
+        before = out
     return docs
 
 
