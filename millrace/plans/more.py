@@ -52,8 +52,7 @@ def merged_runs(spark, sf_dir):
     return turns.merge_runs(rows, ["l_orderkey"]).select("l_orderkey", "ord", "text")
 
 
-@query("""SELECT conv_id, turn AS id, min(turn) OVER (PARTITION BY conv_id) AS root, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS level FROM conversations
-QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 9""")
+@query("""SELECT conv_id, turn AS id, min(turn) OVER (PARTITION BY conv_id) AS root, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS level FROM conversations""")
 def reply_threads(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("id"), F.when(F.col("turn") > 0, F.col("turn") - 1).alias("parent"))
     return meetings.comment_threads(rows).select(F.col("path").alias("conv_id"), "id", "root", "level")

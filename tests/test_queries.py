@@ -11,6 +11,7 @@ import pytest
 from conftest import ROOT
 
 import millrace.plans.more  # noqa: F401
+import millrace.plans.proofs  # noqa: F401
 from millrace.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
