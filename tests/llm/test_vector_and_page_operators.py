@@ -329,3 +329,32 @@ def test_damage_is_told(spark, tmp_path):
             out.write(gzip.compress(change))
         with pytest.raises(Exception, match="digest|ends inside|no end"):
             warc.read_archives(spark.createDataFrame([("file://" + path,)], "archive string")).collect()
+
+
+def test_a_list_of_hosts_and_globs(spark, tmp_path, monkeypatch):
+    """A list of one's own, on URLs that no fixture holds, against plain matching; also a few states at a time."""
+    rng = np.random.default_rng(5)
+    name = lambda: "".join(rng.choice(list("abcxyz-"), 6)).strip("-") + "." + str(rng.choice(["test", "example"]))
+    hosts = sorted({name() for _ in range(300)})
+    (tmp_path / "list.txt").write_text("# hosts\n\n" + "\n".join([*hosts, hosts[0].upper(), "**/banner?.gif", "*.shop/buy/*"]))
+    globs = urls.read_globs(spark, f"file://{tmp_path}/list.txt")
+    assert len(globs) == 4 * len(hosts) + 2
+    said = [f"http://{p}{h}{t}" for h in hosts[::7] + [name() for _ in range(60)] for p in ("", "www.", "not") for t in ("", "/a/b", "/x/banner1.gif", "?q=/banner1.gif")]
+    said += ["http://cheap.shop/buy/now", "http://cheap.shop/buy/now/or/never", "http://shop/buy/x", "http://long.test/" + "a/" * 20_000 + "banner2.gif", None, ""]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(said)], "page_id long, url string")
+
+    def blocked(u):
+        rest = u.split("://")[1] if u else ""
+        whole = rest.split("?")[0]
+        host = whole.split("/")[0]
+        path = whole[len(host):]
+        banner = "/" in whole and (last := whole.rsplit("/", 1)[1]).startswith("banner") and last.endswith(".gif") and len(last) == 11
+        return any(host == h or host.endswith("." + h) for h in hosts) or banner or (host.endswith(".shop") and path.startswith("/buy/") and path.count("/") == 2)
+
+    for states in (1 << 23, 1000):
+        monkeypatch.setattr(urls, "STATES", states)
+        got = {r["page_id"]: r["verdict"] for r in urls.filter_urls(df, rules=(), block=globs).collect()}
+        assert got == {i: "block" if blocked(u) else "allow" for i, u in enumerate(said)}
+    assert 20 < sum(v == "block" for v in got.values()) < len(said) - 20
+    with pytest.raises(ValueError):
+        urls.read_globs(spark, f"file://{tmp_path}/list.txt", most=10)
