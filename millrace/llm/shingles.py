@@ -38,8 +38,8 @@ def plan(sets: int) -> tuple[int, list[tuple[int, ...]]]:
     """Positions a list, and the lists: position sets of the index that intersect that many byte lists.
 
     The positions are dealt to groups, and every choice inside a group is a list, so a pair
-    meets as soon as one group holds enough shared bytes. At the threshold 2 % of pairs meet
-    nowhere, at 0.85 0.3 %. Up to 2**26 sets two positions of six groups do (70 lists); beyond,
+    meets as soon as one group holds enough shared bytes. At the threshold 3 % of pairs meet
+    nowhere, at 0.85 0.6 %. Up to 2**26 sets two positions of six groups do (70 lists); beyond,
     postings would be long, and three positions of two groups take their place (1120 lists).
     """
     size, groups = (2, 6) if sets <= 1 << 26 else (3, 2)

@@ -55,7 +55,7 @@ def test_stage_drops_edited_copies(spark):
 
 
 def test_pairs_at_the_threshold_meet():
-    """Of pairs of similarity 0.8 to 0.82, made from random sets, some 2 % meet in no list or are rejected."""
+    """Of pairs of similarity 0.8 to 0.82, made from random sets, some 3 % meet in no list or are rejected."""
     rng, met, n = np.random.default_rng(11), 0, 1500
     _, lists = shingles.plan(10**5)
     for _ in range(n):
