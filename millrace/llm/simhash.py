@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ..session import cut
+from ..session import cut, join_small
 
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _FOLD = bytes.maketrans(UPPER, LOWER)
@@ -23,8 +23,8 @@ DISTANCE, BYTES, SHARED = 3, 8, 5
 #: a plane and any 3 positions lie in exactly one, so whatever 3 bytes differ, one
 #: plane holds only shared bytes: every pair with 5 shared bytes meets in a posting.
 PLANES = [p for p in combinations(range(8), 4) if p[0] ^ p[1] ^ p[2] ^ p[3] == 0]
-#: A posting of more distinct fingerprints is split by a further shared byte and 6 bits.
-HOT_POSTING = 1 << 18
+#: A posting of more distinct fingerprints is split by a further shared byte and 6 bits, so that one task's search stays short.
+HOT_POSTING = 1 << 12
 _CHUNK = 1 << 20
 
 
@@ -167,10 +167,11 @@ def _split_hot(postings: DataFrame, limit: int) -> DataFrame:
 
     Two members share 4 bytes and must share one of the other 4; the 24 bits then
     left differ in at most 3, so one of four 6-bit groups is equal. What remains
-    of a posting has 18 free bits: at most 2**18 distinct fingerprints.
+    of a posting has 18 free bits: at most 2**18 distinct fingerprints, of which fewer
+    than 2**18 / 19 can lie more than 3 bits apart, so its search soon runs out of rows.
     """
     hot = cut(postings.groupBy("plane", "key").count().where(F.col("count") > limit).select("plane", "key", F.lit(True).alias("hot")))
-    marked = postings.join(hot, ["plane", "key"], "left")
+    marked = join_small(postings, hot, ["plane", "key"])
     finer = []
     for i, plane in enumerate(PLANES):
         for p in sorted(set(range(8)) - set(plane)):
