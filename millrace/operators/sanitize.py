@@ -12,7 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.package import APP, CP, DC, REL, TYPES, W, parse
+from ..session import cut
+from ..sources.package import APP, CP, DC, REL, TYPES, W, members, parse, parts, safety, xml_nodes
+from .checks import validate
 
 # The categories of either format.
 WORD_CATEGORIES = ("metadata", "comments", "revisions", "hidden-text", "custom-xml", "external-rels", "macros", "embedded-objects")
@@ -190,6 +192,37 @@ def pack(contents: DataFrame, compress: bool = True) -> DataFrame:
 
     return contents.select("path", "name", "content").groupBy("path").applyInPandas(build, "path string, content binary")
 
+def repair_parts(contents: DataFrame, step) -> DataFrame:
+    """Add ``repairs`` and change ``content``: ``step(name, bytes)`` gives a part's bytes and what it mended; XML parts alone."""
+
+    @F.pandas_udf("content binary, repairs array<string>")
+    def run(names: pd.Series, data: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([step(n, d) for n, d in zip(names, data)], columns=["content", "repairs"])
+
+    rows = contents.withColumn("_xml", F.coalesce(F.lower("name").rlike(r"\.(xml|rels)$") & F.col("content").isNotNull(), F.lit(False)))
+    other = rows.where("not _xml").drop("_xml").withColumn("repairs", F.array().cast("array<string>"))
+    done = rows.where("_xml").withColumn("_r", run("name", "content")).withColumns({"content": F.col("_r.content"), "repairs": F.col("_r.repairs")})
+    return other.unionByName(done.drop("_r", "_xml"))
+
+def pack_valid(contents: DataFrame, slides: bool = False, keep_invalid: bool = False, extra_checks: tuple = (), compress: bool = True) -> DataFrame:
+    """``(path, content, ok, details)``: packed, read back and checked; what fails has no content unless ``keep_invalid``.
+
+    Each of ``extra_checks`` takes (files, listing, contents, nodes) of the packed files and gives rows of
+    ``(path, check, ok, details)`` beside those of ``checks.validate``. A path without any content gives no row.
+    """
+    files = cut(pack(contents, compress))
+    listing = cut(members(files))
+    report = cut(safety(listing))
+    inside = cut(parts(files, report))
+    nodes = cut(xml_nodes(inside))
+    found = validate(files, listing, report, inside, nodes, slides)
+    for check in extra_checks:
+        found = found.unionByName(check(files, listing, inside, nodes).select("path", "check", "ok", "details"))
+    said = F.array_sort(F.collect_list(F.when(~F.col("ok"), F.concat_ws(": ", "check", "details"))))
+    by_path = found.groupBy("path").agg(F.bool_and("ok").alias("ok"), F.array_join(said, "; ").alias("details"))
+    kept = F.col("ok") | F.lit(keep_invalid)
+    return files.join(by_path, "path").select("path", F.when(kept, F.col("content")).alias("content"), "ok", "details")
+
 # -- XML transforms ---------------------------------------------------------------
 
 def condense(data: bytes) -> bytes:

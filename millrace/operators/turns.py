@@ -47,7 +47,8 @@ def merge_overlaps(lines: Column) -> Column:
         low = F.transform(words, lambda w: F.lower(w))
         sizes = F.sequence(F.least(F.size(done), F.size(words)), F.lit(0))
         ends = lambda n: F.transform(F.slice(done, F.size(done) - n + 1, n), lambda w: F.lower(w))
-        fits = F.filter(sizes, lambda n: (n == 0) | (ends(F.greatest(n, F.lit(1))) == F.slice(low, 1, F.greatest(n, F.lit(1)))))
+        last = F.lower(F.get(done, F.size(done) - 1))  # an overlap ends with it, so that few sizes are compared whole
+        fits = F.filter(sizes, lambda n: (n == 0) | ((F.get(low, n - 1) == last) & (ends(F.greatest(n, F.lit(1))) == F.slice(low, 1, F.greatest(n, F.lit(1))))))
         overlap = fits[0]
         return F.concat(done, F.slice(words, overlap + 1, F.greatest(F.size(words), F.lit(1))))
 

@@ -242,6 +242,23 @@ def deck_chains(spark, sf_dir):
     return readers.inheritance(_read(_decks(spark, sf_dir))[3]).select(F.col("path").cast("long").alias("p_partkey"), "slide", "layout", "master")
 
 
+@query("""SELECT p_partkey, p_partkey || chr(10) || repeat('=', length(p_partkey::VARCHAR)) || chr(10) || chr(10) || '--- Slide 1: ' || p_brand || ' ---' || chr(10) || p_type || chr(10) || '[Notes: say ' || p_brand || ']' || chr(10)
+  || CASE WHEN p_partkey % 4 <> 1 THEN chr(10) || '--- Slide 2: ' || p_name || ' ---' || chr(10) ELSE '' END AS text, CASE WHEN p_partkey % 4 <> 1 THEN 2 ELSE 1 END AS slides, p_brand AS first_title FROM part""")
+def deck_texts(spark, sf_dir):
+    """The text and JSON forms of decks."""
+    deck = cut(readers.slides(_read(_decks(spark, sf_dir))[3]))
+    rows = readers.slides_text(deck).join(readers.slides_json(deck), "path")
+    return rows.select(F.col("path").cast("long").alias("p_partkey"), "text", F.json_array_length("json").alias("slides"), F.get_json_object("json", "$[0].title").alias("first_title"))
+
+
+@query("""SELECT doc_id, doc_id % 9 = 0 AS ok, doc_id % 9 = 0 AS has_content FROM documents WHERE doc_id % 9 <> 1""")
+def packed_if_valid(spark, sf_dir):
+    """Packed again and checked: a copy that fails a check has no content."""
+    contents = _read(cut(_word_files(spark, sf_dir)))[2]
+    made = sanitize.pack_valid(contents.where("error is null and name is not null"), compress=False)
+    return made.select(F.col("path").cast("long").alias("doc_id"), "ok", F.col("content").isNotNull().alias("has_content"))
+
+
 # -- records ------------------------------------------------------------------------------
 
 

@@ -39,8 +39,27 @@ def write_once(df: DataFrame, where: str, kind: str = "parquet", **options) -> N
     df.write.format(kind).options(**options).mode("errorifexists").save(where)
 
 
+def write_transcript_files(df: DataFrame, where: str, about: DataFrame | None = None) -> None:
+    """``(path, text)`` as a folder per path of one text file that ends with a newline, and a metadata line per path.
+
+    ``about`` has further fields by path for the metadata. Texts that are null or blank
+    raise nothing: they get a metadata line with 0 words and no file. Repeated paths share a folder.
+    """
+    rows = df.select("path", F.btrim("text", F.lit(" \t\n\x0b\x0c\r")).alias("text"))
+    facts = rows.select("path", word_count(F.coalesce("text", F.lit(""))).alias("transcriptWords"))
+    if about is not None:
+        facts = facts.join(about, "path", "left")
+    facts.write.mode("errorifexists").option("ignoreNullFields", "false").json(f"{where}/metadata")
+    rows.where("text <> ''").repartition("path").write.mode("errorifexists").partitionBy("path").text(f"{where}/transcripts")
+
+
+def write_discovery(df: DataFrame, where: str) -> None:
+    """What was found for each input as a JSON line, nulls too: tracks, sidecars, presets by score."""
+    df.write.mode("errorifexists").option("ignoreNullFields", "false").json(f"{where}/discovery")
+
+
 def write_transcripts(df: DataFrame, where: str) -> None:
-    """``(path, text)`` as text files by path and a metadata table with word counts."""
+    """``(path, text)`` as tables for a corpus, where a file per path would be too many: texts, and word counts as JSON."""
     rows = df.withColumn("words", word_count(F.col("text")))
     rows.select("path", "words").write.mode("errorifexists").json(f"{where}/metadata")
     rows.select("path", F.concat("text", F.lit("\n")).alias("text")).write.mode("errorifexists").parquet(f"{where}/transcripts")

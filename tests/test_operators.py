@@ -270,6 +270,20 @@ def test_sinks(spark, tmp_path):
         sinks.write_once(new, str(tmp_path / "o"))
 
 
+def test_transcript_files(spark, tmp_path):
+    import json
+
+    df = spark.createDataFrame([("/v/a.mp4", " one two\nthree \n"), ("/v/b.mp4", None), ("/v/c.mp4", " ")], "path string, text string")
+    about = spark.createDataFrame([("/v/a.mp4", "T")], "path string, title string")
+    sinks.write_transcript_files(df, str(tmp_path / "o"), about)
+    files = list((tmp_path / "o/transcripts").glob("path=*/*.txt"))
+    assert [f.read_bytes() for f in files] == [b"one two\nthree\n"]
+    facts = [json.loads(x) for f in (tmp_path / "o/metadata").glob("*.json") for x in f.read_text().splitlines()]
+    assert sorted((x["path"], x["transcriptWords"], x["title"]) for x in facts) == [("/v/a.mp4", 3, "T"), ("/v/b.mp4", 0, None), ("/v/c.mp4", 0, None)]
+    sinks.write_discovery(about, str(tmp_path / "o"))
+    assert spark.read.json(str(tmp_path / "o/discovery")).first()["title"] == "T"
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     got = dict(rows(components(spark.createDataFrame([*edges, (None, 5)], "a long, b long"))))

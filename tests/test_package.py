@@ -139,6 +139,41 @@ def test_sanitise_and_pack(spark):
         sanitize.sanitize(contents, ["colour"])
 
 
+def test_pack_checks_what_it_made(spark):
+    bad = P.word()
+    del bad["_rels/.rels"]
+    contents = tables(spark, a=P.pack(P.word()), b=P.pack(bad))[3]
+    made = {r["path"]: r for r in sanitize.pack_valid(contents).collect()}
+    assert made["a"]["ok"] and made["a"]["content"] and made["a"]["details"] == ""
+    assert not made["b"]["ok"] and made["b"]["content"] is None and "required_parts" in made["b"]["details"]
+    more = lambda f, listing, inside, nodes: f.select("path", F.lit("mine").alias("check"), F.lit(False).alias("ok"), F.lit("no").alias("details"))
+    kept = {r["path"]: r for r in sanitize.pack_valid(contents, keep_invalid=True, extra_checks=(more,)).collect()}
+    assert kept["a"]["details"] == "mine: no" and kept["a"]["content"] and kept["b"]["content"]
+    assert sanitize.pack_valid(contents.limit(0)).count() == 0
+
+
+def test_repairs_are_told(spark):
+    contents = tables(spark, a=P.pack(P.word(**{"word/media/i.png": "x"})))[3]
+    mend = lambda name, data: (data + b" ", ["space: " + name]) if name == "word/document.xml" else (data, [])
+    got = {r["name"]: r for r in sanitize.repair_parts(contents, mend).collect()}
+    before = {r["name"]: r for r in contents.collect()}
+    assert got.keys() == before.keys()
+    assert got["word/document.xml"]["repairs"] == ["space: word/document.xml"] and bytes(got["word/document.xml"]["content"]).endswith(b" ")
+    assert all(not r["repairs"] and r["content"] == before[n]["content"] for n, r in got.items() if n != "word/document.xml")
+
+
+def test_slide_forms(spark):
+    import json
+
+    deck = readers.slides(tables(spark, d=P.pack(P.slides()))[4])
+    text = readers.slides_text(deck).first()["text"]
+    assert text == "d\n=\n\n--- Slide 1: First ---\none\ntwo\nh\n[Notes: say it]\n\n--- Slide 2: Last ---\n"
+    made = json.loads(readers.slides_json(deck).first()["json"])
+    assert [s["title"] for s in made] == ["First", "Last"] and made[1]["texts"] == []
+    whole = json.loads(readers.as_json(readers.word_structure(tables(spark, a=P.pack(P.word()))[4])).first()["json"])
+    assert {"paragraphs", "tables", "comments", "footnotes"} <= whole.keys()
+
+
 def test_sanitise_slides(spark):
     contents = tables(spark, d=P.pack(P.slides()))[3]
     clean = sanitize.sanitize(contents, ["notes"], slides=True).where("content is not null")
